@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import neardup, normalise
+from plumbline.llm import neardup, normalise, pairs
 from plumbline.session import table
 
 
@@ -30,8 +30,13 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "knowledge_yuanqi_import"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose answer doesn't serve the question, with the defect."""
+    return pairs.defective(table(spark, sf_dir, "knowledge_yuanqi_import"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups)}
+    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups, p3_found)}
 
 
 def oracle_sql() -> dict[str, str]:
