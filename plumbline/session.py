@@ -6,9 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[str, SparkSession] = {}
 
 
@@ -29,6 +31,28 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: by its folder, and on a cluster also by a zip file that Spark sends."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    if not sc.master.startswith("local[") and sc.master != "local" and sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        path = os.path.join(tempfile.mkdtemp(), "plumbline.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(os.path.join(root, "plumbline")):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(at, n)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,11 +88,25 @@ def _clean() -> None:
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again.
 
-    The result survives the loss of executors, and what hangs on it isn't computed twice. The folder is removed when
-    the program ends.
+    The result survives the loss of executors, and what hangs on it isn't computed twice. Shuffle files of the steps
+    before it are no longer needed then and are removed at once. The folder is removed when the program ends, or by ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written[path] = spark
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the files of a table made by ``materialise`` that nothing needs any longer."""
+    for f in df.inputFiles():
+        path = f.rpartition("/")[0]
+        for known in list(_written):
+            if path.split(":", 1)[-1].lstrip("/") == known.split(":", 1)[-1].lstrip("/"):
+                _remove(known, _written.pop(known))
