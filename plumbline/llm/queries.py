@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import neardup, normalise, pairs
+from plumbline.llm import mixing, neardup, normalise, pairs, tokenise
 from plumbline.session import table
 
 
@@ -35,8 +35,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective(table(spark, sf_dir, "knowledge_yuanqi_import"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenise.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the mixture, with the number of times each is used."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups, p3_found)}
+    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups, p3_found, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
