@@ -8,7 +8,7 @@ form (see normalise), in lower case, letters and digits only.
    hashing: one pass for each row gives that row's value of every coordinate; empty bins borrow from others by a fixed
    probe), so two texts of similarity s agree in a coordinate with probability s**rows.
 3. Prefix: every text is posted under each coordinate-value pair, and the posting lists are joined. With the defaults
-   (64, 5), a pair of similarity 0.6 is found with probability 0.994, one of 0.7 with 0.99999, whereas one of 0.2 is with 0.02.
+   (64, 5; joined in four rounds), a pair of similarity 0.6 is found with probability 0.994, one of 0.7 with 0.99999, whereas one of 0.2 is with 0.02.
 4. Skip: the 320 single min-hashes, of one bit each, aren't posted; their matches are counted only for pairs that the
    prefix found, and pairs below the match threshold are dropped (at similarity 0.6: one in 100,000).
 5. The pairs left are compared exactly.
@@ -18,6 +18,7 @@ All steps are distributed joins and aggregations; nothing is capped, and no list
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.normalise import canonical, key128, letters_and_digits
 from plumbline.operators.graph import connected_components
-from plumbline.session import materialise
-
-
-def keys(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer")) -> DataFrame:
-    """``id, h, text``: the key text of each record and 64 bits of its hash. Rows without id have none; null fields are empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [letters_and_digits(canonical("".join(x or "" for x in row))) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
-            hs = [int.from_bytes(key128(t)[:8], "little", signed=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["id", "h", "text"])
-
-    cols = [F.col(f"`{id_col}`").cast("string").alias("id"), *(F.col(f"`{f}`").cast("string").alias(f"f{k}") for k, f in enumerate(fields))]
-    return df.select(*cols).where("id is not null").distinct().mapInArrow(run, "id string, h bigint, text string")
+from plumbline.session import drop, materialise
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +74,10 @@ def _one_permutation(tri: np.ndarray, doc: np.ndarray, docs: int, bins: int, see
 
 
 def signatures(texts: list[str], coordinates: int = 64, rows: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Posted coordinates (texts, coordinates) as 64-bit values, and one bit of each single min-hash (texts, rows words)."""
+    """Posted coordinates (texts, coordinates) as 32-bit values, and one bit of each single min-hash (texts, rows words)."""
     tri, doc = _trigrams(texts)
     n = len(texts)
-    posted = np.tile(_mix(np.arange(coordinates, dtype=np.uint64), 77), (n, 1))
+    posted = np.zeros((n, coordinates), np.uint64)
     words = np.empty((n, rows), np.int64)
     for r in range(rows):
         value = _mix(_one_permutation(tri, doc, n, coordinates, r + 1).view(np.uint64), 100 + r)
@@ -97,24 +85,39 @@ def signatures(texts: list[str], coordinates: int = 64, rows: int = 5) -> tuple[
         bits = np.zeros((n, 64), np.uint8)
         bits[:, :coordinates] = (value >> np.uint64(63)).astype(np.uint8)
         words[:, r] = np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
-    return posted.view(np.int64), words
+    return (posted >> np.uint64(32)).astype(np.uint32).view(np.int32), words
+
 
+def signed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), coordinates: int = 64, rows: int = 5) -> DataFrame:
+    """``id, h, text, posted, w0...``: 64 bits of the hash of each record's key text; the text and its signature stand only in the first row of that text in a task.
+
+    So a group of equal texts has one signature for each task. Rows without id have none; null fields are empty; a record
+    with an empty key has no signature.
+    """
 
-def _post(coordinates: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            ok = np.array([bool(t) for t in texts], bool)
-            if not ok.any():
-                continue
-            h = np.asarray(b.column("h"))[ok]
-            posted, words = signatures([t for t in texts if t], coordinates, rows)
+            texts: list[str | None] = [letters_and_digits(canonical("".join(x or "" for x in row))) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            hs = [int.from_bytes(key128(t)[:8], "little", signed=True) for t in texts]
+            for i, h in enumerate(hs):
+                if h in seen or not texts[i]:
+                    texts[i] = None
+                seen.add(h)
+            first = np.array([t is not None for t in texts], bool)
+            at = np.full(len(texts), -1, np.int64)
+            at[first] = np.arange(first.sum())
+            posted, words = signatures([t for t in texts if t is not None], coordinates, rows)
+            take = pa.array(at, mask=~first)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(posted.ravel()), coordinates).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.FixedSizeListArray.from_arrays(pa.array(posted.ravel()), coordinates).cast(pa.list_(pa.int64())), *(pa.array(words[:, w]) for w in range(words.shape[1]))],
-                names=["h", "posted", *(f"w{w}" for w in range(words.shape[1]))],
+                [b.column(0), pa.array(hs, pa.int64()), pa.array(texts, pa.string()), lists.take(take), *(pa.array(words[:, w]).take(take) for w in range(rows))],
+                names=["id", "h", "text", "posted", *(f"w{w}" for w in range(rows))],
             )
 
-    return run
+    cols = [F.col(f"`{id_col}`").cast("string").alias("id"), *(F.col(f"`{f}`").cast("string").alias(f"f{k}") for k, f in enumerate(fields))]
+    schema = "id string, h bigint, text string, posted array<int>, " + ", ".join(f"w{w} bigint" for w in range(rows))
+    return materialise(df.select(*cols).where("id is not null").mapInArrow(run, schema), "signed")
 
 
 def jaccard(a: str, b: str) -> float:
@@ -139,23 +142,31 @@ def _exact(threshold: float):
     return run
 
 
-def class_links(uniq: DataFrame, threshold: float = 0.6, coordinates: int = 64, rows: int = 5, matches: int = 224) -> DataFrame:
-    """``a, b, similarity``: every pair of different texts (``uniq``: ``h, text``, one row a text) at or above ``threshold``, with a < b.
+def class_links(sig: DataFrame, threshold: float = 0.6, coordinates: int = 64, rows: int = 5, matches: int = 224, rounds: int = 4) -> DataFrame:
+    """``a, b, similarity``: every pair of different texts (by their hashes, a < b) of ``signed`` at or above ``threshold``.
 
     ``matches`` of the 320 unposted bits (64 coordinates of 5 rows) must agree; by default 224, four and a half deviations under
-    the 256 expected at 0.6.
+    the 256 expected at 0.6. The coordinates are joined in ``rounds``, so that the postings of one round only are on disk at a time.
     """
-    if coordinates > 64:
-        raise ValueError("64 coordinates at most")
-    words = [f"w{k}" for k in range(rows)]
-    sig = materialise(uniq.mapInArrow(_post(coordinates, rows), "h bigint, posted array<bigint>, " + ", ".join(f"{w} bigint" for w in words)), "signatures")
-    post = sig.select("h", F.explode("posted").alias("v"))
-    found = post.alias("x").join(post.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    found = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions"))
-    sides = [sig.select(F.col("h").alias(s), *(F.col(w).alias(f"{s}_{w}") for w in words)) for s in "ab"]
-    agree = sum((64 - F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0)) - rows * (64 - coordinates)
-    kept = materialise(found.join(sides[0], "a").join(sides[1], "b").where(agree >= matches).select("a", "b"), "candidates")
-    texts = uniq.select("h", "text").join(kept.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
+    if coordinates > 64 or coordinates % rounds:
+        raise ValueError("64 coordinates at most, the same number in each round")
+    first = sig.where("posted is not null")
+    found = []
+    for r in range(rounds):
+        each = coordinates // rounds
+        own = first.select("h", F.posexplode(F.slice("posted", r * each + 1, each)).alias("k", "v"))
+        post = own.select(F.col("h"), (F.shiftleft(F.col("k").cast("bigint"), 32) + F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
+        met = post.alias("x").join(post.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+        found.append(materialise(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions")), f"round{r}"))
+    met = functools.reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.sum("collisions").alias("collisions"))
+    bits = first.groupBy("h").agg(*(F.min(f"w{w}").alias(f"w{w}") for w in range(rows)))
+    sides = [bits.select(F.col("h").alias(s), *(F.col(f"w{w}").alias(f"{s}{w}") for w in range(rows))) for s in "ab"]
+    agree = functools.reduce(lambda x, y: x + y, (64 - F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(rows))) - rows * (64 - coordinates)
+    kept = materialise(met.join(sides[0], "a").join(sides[1], "b").where(agree >= matches).select("a", "b"), "candidates")
+    for x in found:
+        drop(x)
+    wanted = kept.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = first.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
     sides = [texts.select(F.col("h").alias(s), F.col("text").alias(f"t{s}")) for s in "ab"]
     return kept.join(sides[0], "a").join(sides[1], "b").mapInArrow(_exact(threshold), "a bigint, b bigint, similarity double")
 
@@ -166,9 +177,8 @@ def links(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("questio
     Null fields are empty texts; records whose key is empty are linked to none. Repeated rows count once; an id with several
     contents is in several classes. An empty table gives empty results.
     """
-    base = materialise(keys(df, id_col, fields), "keys")
-    uniq = base.dropDuplicates(["h"]).select("h", "text")
-    return base.select("id", "h").distinct(), materialise(class_links(uniq, threshold), "links")
+    sig = signed(df, id_col, fields)
+    return sig.select("id", "h").distinct(), materialise(class_links(sig, threshold), "links")
 
 
 def pairs(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), threshold: float = 0.6, full_class: int = 512) -> DataFrame:
