@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, neardup, normalise, pairs, tokenise
+from plumbline.llm import mixing, neardup, normalise, pairs, tokenise, toxicity
 from plumbline.session import table
 
 
@@ -50,8 +50,27 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[1]
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _scored(spark, sf_dir).where("flagged").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score."""
+    return _scored(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of such documents by source."""
+    return toxicity.rates(_scored(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups, p3_found, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups, p3_found, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
