@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, neardup, normalise, pairs, tokenise, toxicity
+from plumbline.llm import mixing, neardup, normalise, pairs, pii, tokenise, toxicity
 from plumbline.session import table
 
 
@@ -35,6 +35,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective(table(spark, sf_dir, "knowledge_yuanqi_import"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of personal information in each text of the log."""
+    return pii.kinds_found(table(spark, sf_dir, "usage_log_entry"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts of each row of the log with typed placeholders."""
+    return pii.redacted(table(spark, sf_dir, "usage_log_entry")).select("log_id", "user_query", "response_snippet")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenise.token_ids(table(spark, sf_dir, "documents"))
@@ -70,7 +80,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups, p3_found, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_groups, p3_found, p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
