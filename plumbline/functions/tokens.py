@@ -12,7 +12,10 @@ DICTIONARY = "吊柜 地漏 瓷砖 石膏线 踢脚线 窗帘盒 暖气片 乳
 HAN = "一-鿿"
 MIXED = f"[0-9]+[.]?[0-9]*[{HAN}A-Za-z]+[0-9{HAN}A-Za-z]*"
 ALNUM = "[a-zA-Z]+|[0-9]+"
-NO_STRINGS = F.array().cast("array<string>")
+
+
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
 
 
 def alternation(words: list[str]) -> str:
@@ -33,7 +36,7 @@ def mixed_words(c: Column) -> Column:
 def bigrams(c: Column) -> Column:
     """Pairs of neighbouring Chinese characters, everything else taken out before."""
     han = F.regexp_replace(c, f"[^{HAN}]", "")
-    return F.when(F.length(han) >= 2, F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substring(han, i, F.lit(2)))).otherwise(NO_STRINGS)
+    return F.when(F.length(han) >= 2, F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substring(han, i, F.lit(2)))).otherwise(no_strings())
 
 
 def latin(c: Column) -> Column:
@@ -43,7 +46,7 @@ def latin(c: Column) -> Column:
 def tokens(c: Column, keywords: Column | None = None, words: list[str] | None = None) -> Column:
     """All tokens of a text in order, with repeats: keywords twice, dictionary words, mixed words twice, bigrams, Latin words and numbers. Null counts as empty."""
     c = F.coalesce(c, F.lit(""))
-    k = F.coalesce(keywords, NO_STRINGS) if keywords is not None else NO_STRINGS
+    k = F.coalesce(keywords, no_strings()) if keywords is not None else no_strings()
     m = mixed_words(c)
     return F.concat(F.flatten(F.transform(k, lambda w: F.array(w, w))), dictionary_words(c, words), F.flatten(F.transform(m, lambda w: F.array(w, w))), bigrams(c), latin(c))
 
@@ -51,7 +54,7 @@ def tokens(c: Column, keywords: Column | None = None, words: list[str] | None =
 def windows(c: Column, least: int = 2, most: int = 6) -> Column:
     """Different substrings of ``least`` to ``most`` characters of each Chinese run."""
     runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"([{HAN}]+)"), 1)
-    cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))).otherwise(NO_STRINGS)
+    cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))).otherwise(no_strings())
     return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.flatten(F.array(*(cut(r, n) for n in range(least, most + 1)))))))
 
 

@@ -6,19 +6,17 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-UNIT = T.StructType.fromDDL(
+UNIT = (
     "ku_id string, title string, knowledge_type string, stage string, severity string, role array<string>, problem_type array<string>, trade array<string>, material array<string>, scope string, description string, typical_scenario string, how_to_avoid string, trigger_keywords array<string>, related_ku_ids array<string>, "
     "evidence struct<source_type: string, source_ref: string, frequency: string, confidence: string>, causal_chain struct<root_cause: string, direct_cause: string, consequence: string>, standard_number string, standard_authority string, standard_requirement string, compliance_criteria string, verification_method string, "
     "metadata struct<created_at: string, updated_at: string, created_by: string, verified: boolean, verify_method: string, verified_by: string, version: string, source_file: string, quality_level: string, expires_at: string, last_reviewed_at: string, finalized_at: string>"
 )
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str = UNIT) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str = UNIT) -> DataFrame:
     """Files that hold one array or one object each, with ``source_file`` and ``corrupt`` (the text of what can't be read)."""
-    s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = spark.read.schema(T.StructType([*s.fields, T.StructField("corrupt", T.StringType())])).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
+    raw = spark.read.schema(f"{schema}, corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
     return raw.withColumn("source_file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
 
 
