@@ -16,10 +16,11 @@ def daily_counts(log: DataFrame, delay: str = "30 days") -> DataFrame:
     return w.select(F.col("w.start").alias("day"), "source_channel", "n", "helpful")
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
+def rate_limited(requests: DataFrame, limit: int, seconds: float, delay: str = "1 hour") -> DataFrame:
     """``user_id, event_id, accepted`` of a stream of ``user_id, event_id, ts``: as the batch operator, by keyed state; within a batch rows are taken in order of time.
 
-    The state of a key is the times of its accepted rows in the window, ``limit`` at most; it's dropped when the key is silent that long.
+    The state of a key is the times of its accepted rows in the window, ``limit`` at most; it's dropped when the watermark
+    (``delay`` behind the latest row) has passed the window.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -36,7 +37,8 @@ def rate_limited(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
             if out[-1]:
                 seen.append(at)
         state.update((seen,))
-        state.setTimeoutDuration(max(1, int(seconds * 1000)))
+        state.setTimeoutTimestamp(max(int(max(seen, default=0) / 1000 + seconds * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": out})
 
-    return requests.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, accepted boolean", "seen array<long>", "append", "ProcessingTimeTimeout")
+    marked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return marked.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, accepted boolean", "seen array<long>", "append", "EventTimeTimeout")
