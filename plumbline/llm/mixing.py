@@ -25,7 +25,7 @@ BUCKETS = 4096
 
 def min_cost_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
     """Flow on each edge ``(from, to, capacity, cost)`` of a maximum flow of least cost, by successive shortest paths with potentials. Costs aren't negative."""
-    n = 1 + max(max(a, b) for a, b, _, _ in edges)
+    n = 1 + max((max(a, b) for a, b, _, _ in edges), default=1)
     to, cap, cost, out = [], [], [], [[] for _ in range(n)]
     for a, b, c, w in edges:
         for x, y, z, v in ((a, b, c, w), (b, a, 0, -w)):

@@ -130,6 +130,8 @@ def canonical(text: str | None) -> str | None:
     if _TWINS.search(text):
         text = _WORD.sub(_latin, text)
         text = re.sub("[‐‑‒−’‘“”]", lambda m: _TWIN[m.group()], text)
+        if _COMPOSING.search(text):  # a mark on a letter that is Latin only now
+            text = unicodedata.normalize("NFC", text)
     return text.strip(" \n")
 
 

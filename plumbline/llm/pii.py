@@ -601,5 +601,10 @@ def redacted(df: DataFrame, key_col: str = "log_id", fields: tuple[str, ...] = (
 def kinds_found(df: DataFrame, key_col: str = "log_id", fields: tuple[str, ...] = ("user_query", "response_snippet"), examples: int = 16_000) -> DataFrame:
     """``key_col, field, kind``: a row for each kind that a text of the key holds. Rows without key have none."""
     r = redacted(df, key_col, fields, examples).where(F.col(f"`{key_col}`").isNotNull())
-    pairs = F.explode(F.concat(*(F.transform(F.coalesce(F.col(f"`{f}_kinds`"), F.array().cast("array<string>")), lambda k, f=f: F.struct(F.lit(f).alias("field"), k.alias("kind"))) for f in fields)))
+
+    def named(field: str):
+        kinds = F.coalesce(F.col(f"`{field}_kinds`"), F.array().cast("array<string>"))
+        return F.transform(kinds, lambda k: F.struct(F.lit(field).alias("field"), k.alias("kind")))
+
+    pairs = F.explode(F.concat(*map(named, fields)))
     return r.select(F.col(f"`{key_col}`"), pairs.alias("x")).select(F.col(f"`{key_col}`"), "x.field", "x.kind").distinct()
