@@ -181,13 +181,12 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql="""with c as (select text, substr(text, 1, 200) as a, translate(substr(text, 1, 200), '的了在不', '地啦再未') as b from documents where text is not null),
+    sql="""with c as (select text as a, translate(text, '的了在不', '地啦再未') as b from documents where text is not null),
     z as (select unnest(string_split(a, '')) as x, unnest(string_split(b, '')) as y from c where length(a) = length(b)) select x as old_char, y as new_char, count(*) as n from z where x <> y group by x, y"""
 )
 def substitution_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters exchanged in the first lines of the documents by a fixed substitution (the texts' heads are the patched field)."""
-    a = F.substring("text", 1, 200)
-    d = table(spark, sf_dir, "documents").select(a.alias("a"), F.translate(a, "的了在不", "地啦再未").alias("b"))
+    """Characters exchanged in all documents by a fixed substitution."""
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("a"), F.translate("text", "的了在不", "地啦再未").alias("b"))
     return repair.substitutions(d, "a", "b")
 
 

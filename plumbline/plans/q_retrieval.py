@@ -111,7 +111,7 @@ def substring_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of a stage that hold a phrase, by its number of occurrences."""
     t = C.latest_units(spark, sf_dir).where("stage = 'STAGE_04'").select("ku_id", F.lower(F.concat_ws(" ", "title", "description", "typical_scenario", "how_to_avoid")).alias("body"))
     hits = t.where(F.contains("body", F.lit(_NEEDLE))).select("ku_id", R.occurrences(F.col("body"), _NEEDLE).cast("bigint").alias("score"))
-    return hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    return hits.join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total"))))
 
 
 _WORDS_SQL = f"regexp_extract_all(question, '({alternation(DICTIONARY)})', 1)"
