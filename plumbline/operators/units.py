@@ -167,7 +167,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         vs, us, ls, ns = (b.column(c).to_pylist() for c in ("value", "unit", "label", "note"))
         each = [readings(*x) for x in zip(vs, us, ls, ns, strict=True)]
-        named = [next((UNITS[n][0] for n in _BY_NAME.get(plain(u), [])), None) for u in us]
+        # a check votes by its unit field or, where that is blank, by the only reading of its texts
+        named = [next((UNITS[n][0] for n in _BY_NAME.get(plain(u), [])), UNITS[e[0][0]][0] if len(e) == 1 and plain(u) in ("", "-") else None) for u, e in zip(us, each, strict=True)]
         arrays = [b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(named, pa.string()), pa.array([[{"quantity": UNITS[n][0], "unit_no": n, "number": x} for n, x, _ in e] for e in each], kind)]
         yield pa.RecordBatch.from_arrays(arrays, names=["id", "check_no", "topic", "value", "unit", "named", "readings"])
 
