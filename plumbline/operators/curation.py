@@ -6,6 +6,7 @@ import difflib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,29 +79,95 @@ def _bounded_ratio(a: str, b: str, least: float) -> float:
     return ratio(a, b)
 
 
+def _counts(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, column)`` of each character; the k-th occurrence of a character is an item of its own, so that sets of items count repeats.
+
+    The ``width`` most frequent items have a column each, the others share as many; items of a single text have none. So the
+    product of two texts' rows is the number of common characters with repeats, or more.
+    """
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    order = np.lexsort((c, doc))
+    c, doc = c[order], doc[order]
+    first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])])
+    nth = np.arange(len(c)) - np.repeat(first, np.diff(np.r_[first, len(c)]))
+    _, item, df = np.unique(c << 32 | nth, return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(-df, kind="stable")] = np.arange(len(df))
+    column = np.where(rank < width, rank, width + rank % width)
+    several = df[item] > 1
+    return doc[several], column[item[several]]
+
+
+def _near(texts: list[str], left: np.ndarray, right: np.ndarray, least: float, width: int = 2048, rows: int = 1024) -> list[tuple[int, int]]:
+    """Pairs of a place in ``left`` and one in ``right`` whose lengths and common characters allow a ratio of ``least``; of places in both, each pair once."""
+    doc, column = _counts(texts, width)
+    used = int(column.max()) + 1 if len(column) else 1
+    starts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    n = np.array([len(t) for t in texts])
+
+    def chunks(side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        side = side[np.argsort(n[side], kind="stable")]
+        out = []
+        for part in np.split(side, range(rows, len(side), rows)):
+            at = np.concatenate([column[starts[i] : starts[i + 1]] + k * used for k, i in enumerate(part)])
+            out.append((part, np.bincount(at, minlength=len(part) * used).astype(np.float32).reshape(len(part), used)))
+        return out
+
+    same = left is right
+    a = chunks(left)
+    b = a if same else chunks(right)
+    out = []
+    for x, (i, u) in enumerate(a):
+        for y, (j, v) in enumerate(b):
+            low, high = sorted(((n[i[0]], n[i[-1]]), (n[j[0]], n[j[-1]])))
+            if same and y < x or 2 * low[1] < least * (low[1] + high[0]) - 1e-9 and low[1] < high[0]:
+                continue
+            total = n[i][:, None] + n[j][None, :]
+            r, c = np.nonzero((2 * np.minimum(u @ v.T, np.minimum(n[i][:, None], n[j][None, :])) >= least * total - 1e-9))
+            out += [(p, q) for p, q in zip(i[r].tolist(), j[c].tolist(), strict=True) if not same or y > x or p < q]
+    return out
+
+
+def similar_texts(texts: DataFrame, least: float, block: int = 8192) -> DataFrame:
+    """``k_a, k_b`` of different texts ``k, x`` (neither null nor empty, ``k`` unique) that may have a ratio of ``least``: all that have, and few others.
+
+    At a threshold of 0.7 nearly half of a text's characters would have to be posted, and an inverted join of them meets
+    each pair several times. So all pairs are counted instead, block by block, as matrix products over characters.
+    """
+    n = texts.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("n"))
+    placed = texts.join(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = met.select("k", "x", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def run(t: pa.Table) -> pa.Table:
+        b, lo, hi = (t.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        left = np.flatnonzero(b == lo)
+        right = left if lo[0] == hi[0] else np.flatnonzero(b == hi)
+        found = _near(t.column("x").to_pylist(), left, right, least) if len(left) and len(right) else []
+        k = t.column("k")
+        return pa.table({f"k_{s}": k.take(pa.array([f[m] for f in found], pa.int64())) for m, s in enumerate("ab")})
+
+    kind = texts.schema["k"].dataType.simpleString()
+    return met.groupBy("lo", "hi").applyInArrow(run, f"k_a {kind}, k_b {kind}")
+
+
 def similar_titles(df: DataFrame, id_col: str, title: str, text: str, title_least: float = 0.8, text_least: float = 0.7, piece: int = 2) -> DataFrame:
-    """``id_a, id_b, title_ratio, text_ratio`` of pairs of records (by id, a < b) with a similar title or an equal text.
+    """``id_a, id_b, title_ratio, text_ratio`` of all pairs of records (by id, a < b) with a similar title or a similar text.
 
-    Records are paired if their titles share rare enough evidence: a pair at ``title_least`` or above has a common substring,
-    so one at least of each title's substrings of ``piece`` characters; of these, the rarest ones are posted, as many as a pair
-    at the threshold could miss, plus one (prefix filter over character pairs counted with repeats is exact for the common
-    characters that the ratio needs). Equal texts are paired through their first record.
+    Titles and texts, equal ones once, are each paired by ``similar_texts`` and bring all their records.
     """
     r = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x")).distinct()
-    chars = r.where("t <> ''").select("id", F.length("t").alias("n"), F.explode(F.split("t", "")).alias("c")).where("c <> ''")
-    # the k-th occurrence of a character is an item of its own, so that sets of items count repeats
-    items = chars.groupBy("id", "n", "c").agg(F.count(F.lit(1)).alias("m")).select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("m").cast("int")), lambda k: F.concat("c", k.cast("string")))).alias("item"))
-    df_ = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    ranked = items.join(df_, "item").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "item")))
-    # |x ∩ y| >= least (n + m) / 2 and m >= least n / (2 - least): a prefix of n - ceil(least n / (2 - least)) + 1 items meets
-    prefix = F.col("n") - F.ceil(F.col("n") * title_least / (2 - title_least)) + 1
-    post = ranked.where(F.col("k") <= prefix).select("id", "n", "item")
-    a, b = post.alias("a"), post.alias("b")
-    near = (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & (2 * F.least("a.n", "b.n") >= title_least * (F.col("a.n") + F.col("b.n")))
-    pairs = a.join(b, near).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    same = r.where("x <> ''").groupBy(F.xxhash64("x").alias("h"), F.length("x").alias("l")).agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    equal = r.select("id", F.xxhash64("x").alias("h"), F.length("x").alias("l")).join(same, ["h", "l"]).where("id <> id_a").select("id_a", F.col("id").alias("id_b"))
-    pairs = pairs.unionByName(equal).distinct()
+
+    def arm(c: str, least: float) -> DataFrame:
+        each = r.where(F.col(c) != "").groupBy(F.col(c).alias("x")).agg(F.min("id").alias("first"), F.countDistinct("id").alias("m")).withColumn("k", F.xxhash64("x", F.length("x"), "first"))
+        holders = r.join(each.select(F.col("x").alias(c), "k"), c).select("k", "id").distinct()
+        near = similar_texts(each.select("k", "x"), least).unionByName(each.where("m > 1").select(F.col("k").alias("k_a"), F.col("k").alias("k_b")))
+        sides = [holders.select(F.col("k").alias(f"k_{s}"), F.col("id").alias(s)) for s in "ij"]
+        near = near.join(sides[0].withColumnRenamed("k_i", "k_a"), "k_a").join(sides[1].withColumnRenamed("k_j", "k_b"), "k_b").where("i <> j")
+        return near.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+
+    pairs = arm("t", title_least).unionByName(arm("x", text_least)).distinct()
     sides = [r.select(F.col("id").alias(f"id_{s}"), F.col("t").alias(f"t{s}"), F.col("x").alias(f"x{s}")) for s in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,5 +183,5 @@ def obsolete_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of units with similar titles or equal descriptions."""
+    """Pairs of units with similar titles or similar descriptions."""
     return V.similar_titles(C.latest_units(spark, sf_dir), "ku_id", "title", "description")

@@ -197,6 +197,36 @@ def test_similar_titles_equals_all_pairs(spark):
     assert {(3, 23), (3, 43), (3, 63), (3, 83)} <= equal
 
 
+def test_similar_texts_equal_all_pairs(spark):
+    r = random.Random(2)
+    han = "瓷砖空鼓渗水开裂墙面地漏防水吊顶木门窗帘灯带插座水槽花洒橱柜马桶"
+    base = ["".join(r.choice(han) for _ in range(r.choice((3, 10, 40, 150, 260)))) for _ in range(40)]
+    texts = list(base)
+    for t in base:
+        for share in (0.05, 0.15, 0.25, 0.3):
+            u = [ch if r.random() > share else r.choice(["", r.choice(han), ch + r.choice(han)]) for ch in t]
+            texts.append("".join(u))
+    texts += [base[0], base[0], "", None]
+    data = [(k, f"{k:05d}{chr(0x4E00 + 7 * k)}", t) for k, t in enumerate(texts)]
+    want = {}
+    for i, _, x in data:
+        for j, _, y in data:
+            if i < j and x and y and (v := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.7:
+                want[i, j] = round(v, 3)
+    assert sum(v < 1 for v in want.values()) > 60
+    df = spark.createDataFrame(data, "id int, title string, body string")
+    got = {(x.id_a, x.id_b): x.text_ratio for x in curation.similar_titles(df, "id", "title", "body").where("text_ratio >= 0.7").collect()}
+    assert got == want
+    texts_ = spark.createDataFrame([(k, t) for k, t in enumerate(dict.fromkeys(t for t in texts if t))], "k int, x string")
+    whole = {tuple(sorted(x)) for x in curation.similar_texts(texts_, 0.7).collect()}
+    assert {tuple(sorted(x)) for x in curation.similar_texts(texts_, 0.7, block=30).collect()} == whole
+
+
+def test_similar_titles_at_the_threshold(spark):
+    df = spark.createDataFrame([(1, "瓷砖缝", "a"), (2, "瓷砖", "b"), (3, "砖瓷", "c"), (4, "砖缝大", "d")], "id int, title string, body string")
+    assert rows(curation.similar_titles(df, "id", "title", "body"), "id_a", "id_b", "title_ratio") == [(1, 2, 0.8)]
+
+
 # ---- change log
 
 
