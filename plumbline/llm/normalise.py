@@ -192,9 +192,9 @@ def forms(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("questio
 def same_looking(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), least: int = 10, full_class: int = 512) -> DataFrame:
     """Pairs ``field, id_a, id_b`` of different ids whose texts look the same but are stored as different characters.
 
-    Rows repeated whole count once. Classes in which all texts are equal strings yield nothing. A class (one canonical
-    form) of up to ``full_class`` ids yields all its pairs; a larger one, which would yield a quadratic number, yields a
-    link from every id to the first id of the class whose string differs from its own: still each member, in as many rows.
+    Rows repeated whole count once. Classes in which all texts are equal strings yield nothing. Every class (one
+    canonical form) yields all its pairs. In a class of more than ``full_class`` ids, different strings are paired first, so that
+    ids of equal strings never meet, and its ids are spread over salts of about ``full_class`` ids each.
     """
     rows = materialise(forms(df, id_col, fields, least).distinct(), "forms")
     several = rows.groupBy("field", "form").agg(F.min("raw").alias("r0"), F.max("raw").alias("r1"), F.count(F.lit(1)).alias("n"))
@@ -204,10 +204,10 @@ def same_looking(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("
     a, b = small.alias("a"), small.alias("b")
     same = (F.col("a.field") == F.col("b.field")) & (F.col("a.form") == F.col("b.form"))
     pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw"))).select("a.field", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    large = members.where(F.col("n") > full_class)
-    heads = large.groupBy("field", "form", "raw").agg(F.min("id").alias("head"))
-    first = heads.groupBy("field", "form").agg(F.min(F.struct("head", "raw")).alias("first"))
-    second = heads.join(first, ["field", "form"]).where(F.col("raw") != F.col("first.raw")).groupBy("field", "form", "first").agg(F.min("head").alias("second"))
-    star = large.join(second, ["field", "form"]).select("field", "id", F.when(F.col("raw") != F.col("first.raw"), F.col("first.head")).otherwise(F.col("second")).alias("to")).where("id <> to")
-    star = star.select("field", F.least("id", "to").alias("id_a"), F.greatest("id", "to").alias("id_b"))
-    return pairs.unionByName(star).distinct()
+    large = members.where(F.col("n") > full_class).withColumn("salts", F.ceil(F.col("n") / full_class).cast("int")).drop("n")
+    strings = large.select("field", "form", "raw", "salts").distinct()
+    met = strings.join(strings.select("field", "form", F.col("raw").alias("raw_b")), ["field", "form"]).where("raw < raw_b")
+    left = met.join(large.drop("salts"), ["field", "form", "raw"]).select("field", "form", F.col("raw_b").alias("raw"), "id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = large.select("field", "form", "raw", F.col("id").alias("to"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    rest = left.join(right, ["field", "form", "raw", "salt"]).where("id <> to").select("field", F.least("id", "to").alias("id_a"), F.greatest("id", "to").alias("id_b"))
+    return pairs.unionByName(rest).distinct()

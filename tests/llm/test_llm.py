@@ -55,6 +55,16 @@ def test_same_looking(spark):
     assert rows(normalise.normalise_fields(df, ["question"]).where("id = '2'"), "question", "answer", "form") == [(q, "", "clash")]
 
 
+def test_same_looking_yields_all_pairs_of_large_classes(spark):
+    q = "这是一个足够长的问题文本ab"
+    spelled = [q, q + "​", q.replace("a", "а"), q.replace("b", "ｂ"), "　" + q]
+    data = [(f"{k:03d}", spelled[k % 7 % 5], None) for k in range(60)] + [("x", "另一个足够长的问题文本cd", None), ("y", "另一个足够长的问题文本ｃd", None)]
+    want = {("question", i, j) for i, t, _ in data for j, u, _ in data if i < j and t != u and normalise.canonical(t) == normalise.canonical(u)}
+    df = entries(spark, data)
+    for bound in (512, 8, 1):
+        assert set(rows(normalise.same_looking(df, full_class=bound))) == want
+
+
 # ---- problem 2
 
 
