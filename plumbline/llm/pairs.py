@@ -7,7 +7,7 @@ An entry has one defect at most; the first that holds, in this order:
 * ``refusal``: phrases of inability make up most of the answer, so that no advice is left;
 * ``language``: by naive Bayes over character n-grams, nearly no piece of the answer is in the question's language;
 * ``truncated``: by the likelihood that a text ends after the answer's last one to three characters. Inside and end counts of
-  hashed n-grams are taken over all answers, backed off from three to one, each answer's own end left out. After a mark
+  n-grams, by their exact code points, are taken over all answers, backed off from three to one, each answer's own end left out. After a mark
   that ends sentences, that mark alone counts. Decimal points and the points of numbered lists are characters of their own.
 """
 
@@ -39,7 +39,8 @@ _SENTENCE = re.compile(r"[^。!?\n;~]+?(?:\.(?=\s|$)|[。!?\n;~]|$)")
 _POLITE = re.compile(r"^(?:您好|你好|收到|感谢(?:提问|咨询|您的提问)?|谢谢(?:提问|您)?|答|好的|亲|hello|hi|thanks?(?: you)?(?: for asking)?|祝(?:您|你)?(?:装修)?顺利|回复完毕|仅供参考|以上(?:仅供参考|供您参考)?|有变化随时再问|数据会浮动|等等|具体以现场为准|给您添麻烦了)$", re.I)
 _END_MARK = frozenset(".。!?…~)」』”\"】]")
 
-BUCKETS = 1 << 16
+#: Different n-grams that a task holds before it passes their counts on.
+HELD = 1 << 21
 #: Likelihood of an end anywhere, and the weight of a shorter n-gram against a longer one's counts.
 PRIOR, WEIGHT = 0.004, 5.0
 
@@ -72,12 +73,21 @@ def is_refusal(answer: str) -> bool:
     return no > 0 and no >= 0.7 * (no + rest)
 
 
-def _hashes(c: np.ndarray, n: int) -> np.ndarray:
-    h = np.full(max(0, len(c) - n + 1), 31 * n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = (h ^ c[k : len(c) - n + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(44)).astype(np.int64) % BUCKETS + (n - 1) * BUCKETS
+def _exact(c: np.ndarray, n: int) -> np.ndarray:
+    """Each n-gram as a number of its own, of up to three code points of 21 bits."""
+    h = np.zeros(max(0, len(c) - n + 1), np.int64)
+    for k in range(n):
+        h = h << 21 | c[k : len(c) - n + 1 + k].astype(np.int64) + 1
+    return h
+
+
+def _merged(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums by n-gram of several ``gram, inside, ends``."""
+    gram, inside, ends = (np.concatenate(x) for x in zip(*counts, strict=True))
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return gram[first], np.add.reduceat(inside[order], first), np.add.reduceat(ends[order], first)
 
 
 def _points(c: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -94,11 +104,16 @@ def _points(c: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row with ``id, defect, grams, marked`` for each entry; at the end, a row with ``bucket, inside, ends`` for each bucket that was seen."""
+    """A row with ``id, defect, grams, marked`` for each entry; besides, rows with ``gram, inside, ends`` for each n-gram that was seen, to be summed up."""
     model = LanguageModel()
-    inside, ends = np.zeros(3 * BUCKETS, np.int64), np.zeros(3 * BUCKETS, np.int64)
-    names = ["id", "defect", "grams", "marked", "bucket", "inside", "ends"]
-    kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["id", "defect", "grams", "marked", "gram", "inside", "ends"]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def counts() -> pa.RecordBatch:
+        none = [None] * len(held[0][0])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, none, *held.pop()), kinds, strict=True)], names=names)
+
     for b in batches:
         ids = b.column(0).to_pylist()
         qs = [canonical(x or "") for x in b.column(1).to_pylist()]
@@ -120,26 +135,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [a for a, d in zip(ans, defects, strict=True) if d is None]
         c, doc = codes(kept)
         c = _points(c, doc)
-        grams = np.zeros((len(kept), 3), np.int64)
+        shown_: list[list[int | None]] = [[None] * len(kept) for _ in range(3)]
         last = np.cumsum([len(a) for a in kept]) - 1
         for n in (1, 2, 3):
-            h = _hashes(c, n)
+            h = _exact(c, n)
             ok = doc[: len(h)] == doc[n - 1 :] if len(h) else np.zeros(0, bool)
-            inside += np.bincount(h[ok], minlength=len(inside))
-            at = last - n + 1
-            fits = np.array([len(a) >= n for a in kept], bool)
-            grams[fits, n - 1] = h[at[fits]]
-            grams[~fits, n - 1] = (n - 1) * BUCKETS
-            ends += np.bincount(grams[fits, n - 1], minlength=len(ends))
-        each = iter(grams.tolist())
-        shown = [next(each) if d is None else None for d in defects]
+            seen, times = np.unique(h[ok], return_counts=True)
+            fits = np.flatnonzero(np.array([len(a) >= n for a in kept], bool))
+            end = h[last[fits] - n + 1]
+            ended, often = np.unique(end, return_counts=True)
+            of_seen = np.zeros(len(seen), np.int64)
+            of_seen[np.searchsorted(seen, ended)] = often
+            held.append((seen, times - of_seen, of_seen))
+            for k, g in zip(fits.tolist(), end.tolist(), strict=True):
+                shown_[n - 1][k] = g
+        each = iter(zip(*shown_, strict=True))
+        shown = [list(next(each)) if d is None else None for d in defects]
         marked = [None if d is not None else (a[-1] in _END_MARK or ord(a[-1]) >= 0x1F300) for a, d in zip(ans, defects, strict=True)]
         none = [None] * len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, defects, shown, marked, none, none, none), kinds, strict=True)], names=names)
-    seen = np.flatnonzero(inside)
-    if len(seen):
-        none = [None] * len(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, none, seen, (inside - ends)[seen], ends[seen]), kinds, strict=True)], names=names)
+        if sum(len(x[0]) for x in held) > HELD:
+            held[:] = [_merged(held)]
+            if len(held[0][0]) > HELD // 2:
+                yield counts()
+    if held:
+        held[:] = [_merged(held)] if sum(len(x[0]) for x in held) else held[:1]
+        yield counts()
 
 
 def defective(df: DataFrame, id_col: str = "id", question: str = "question", answer: str = "answer", least: float = 0.012) -> DataFrame:
@@ -149,15 +170,18 @@ def defective(df: DataFrame, id_col: str = "id", question: str = "question", ans
     count once. A null question is an empty one, which no answer copies and which has no language.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{question}`").cast("string").alias("q"), F.col(f"`{answer}`").cast("string").alias("a")).where("id is not null").distinct()
-    found = materialise(rows.mapInArrow(_scan, "id string, defect string, grams array<int>, marked boolean, bucket int, inside bigint, ends bigint"), "pairs")
-    counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))  # 196,608 rows at most
-    open_ = found.where("id is not null and defect is null")
+    found = materialise(rows.mapInArrow(_scan, "id string, defect string, grams array<bigint>, marked boolean, gram bigint, inside bigint, ends bigint"), "pairs")
+    # after a mark, the shorter n-gram alone counts; answers that end alike are judged once, so that no end is a hot key
+    open_ = found.where("id is not null and defect is null").select("id", "marked", F.when(F.col("marked"), F.slice("grams", 1, 1)).otherwise(F.col("grams")).alias("grams"))
+    each = open_.select("marked", "grams").distinct().select("marked", "grams", F.posexplode("grams").alias("k", "gram"))
+    asked = each.select("gram").where("gram is not null").distinct()
+    counts = found.where("gram is not null").select("gram", "inside", "ends").join(asked, "gram", "left_semi").groupBy("gram").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
+    side = [F.max(F.when(F.col("k") == n - 1, F.col(c))).alias(f"{c[0]}{n}") for n in (1, 2, 3) for c in ("inside", "ends")]
+    judged = each.join(counts, "gram", "left").groupBy("marked", "grams").agg(*side)
     p = F.when(F.col("marked"), F.lit(0.05)).otherwise(F.lit(PRIOR))
     for n in (1, 2, 3):
-        side = F.broadcast(counts.select(F.col("bucket").alias(f"b{n}"), F.col("inside").alias(f"i{n}"), (F.col("ends") - 1).alias(f"e{n}")))
-        open_ = open_.withColumn(f"b{n}", F.get("grams", F.lit(n - 1))).join(side, f"b{n}", "left")
-        e, i = (F.greatest(F.coalesce(F.col(f"{x}{n}"), F.lit(0)), F.lit(0)) for x in "ei")
+        e, i = F.greatest(F.coalesce(F.col(f"e{n}"), F.lit(0)) - 1, F.lit(0)), F.coalesce(F.col(f"i{n}"), F.lit(0))
         longer = (e + WEIGHT * p) / (e + i + WEIGHT)
         p = longer if n == 1 else F.when(F.col("marked"), p).otherwise(longer)
-    cut = open_.where(p < least).select("id", F.lit("truncated").alias("defect"))
-    return found.where("defect is not null").select("id", "defect").unionByName(cut).distinct()
+    cut = open_.alias("o").join(judged.where(p < least).select("marked", "grams").alias("j"), (F.col("o.marked") == F.col("j.marked")) & F.col("o.grams").eqNullSafe(F.col("j.grams")), "left_semi")
+    return found.where("defect is not null").select("id", "defect").unionByName(cut.select("id", F.lit("truncated").alias("defect"))).distinct()

@@ -134,6 +134,44 @@ def test_defects(spark):
     assert pairs.defective(entries(spark, data).where("false")).count() == 0
 
 
+def truncated_by_counts(answers, least=0.012):
+    """The ids of ``answers`` (canonical, without another defect) that end where texts seldom do, from dictionaries of n-grams."""
+    seen, ends, last = {}, {}, {}
+    for i, a in answers.items():
+        c = "".join(map(chr, pairs._points(*language.codes([a])).tolist()))
+        last[i] = [c[-n:] if len(c) >= n else None for n in (1, 2, 3)]
+        for n in (1, 2, 3):
+            for k in range(len(c) - n + 1):
+                seen[c[k : k + n]] = seen.get(c[k : k + n], 0) + 1
+            if len(c) >= n:
+                ends[c[-n:]] = ends.get(c[-n:], 0) + 1
+    out = set()
+    for i, a in answers.items():
+        marked = a[-1] in pairs._END_MARK or ord(a[-1]) >= 0x1F300
+        p = 0.05 if marked else pairs.PRIOR
+        for g in last[i][: 1 if marked else 3]:
+            e, inside = (ends[g] - 1, seen[g] - ends[g]) if g else (0, 0)
+            p = (e + pairs.WEIGHT * p) / (e + inside + pairs.WEIGHT)
+        if p < least:
+            out.add(i)
+    return out
+
+
+def test_truncation_counts_exact_ngrams(spark):
+    r = random.Random(9)
+    han = [chr(0x4E00 + k) for k in range(900)]
+    close = ["".join(r.choice(han) for _ in range(3)) for _ in range(150)]
+    data = [(f"{k:04d}", "卫生间的瓷砖空鼓了，应该怎么处理比较好？", "".join(r.choice(han) for _ in range(r.randint(60, 120))) + (r.choice(close) if k % 4 else "")) for k in range(2500)]
+    data += [("s1", "怎么办", "可"), ("s2", "怎么办", "可以")]
+    df = entries(spark, data)
+    got = dict(rows(pairs.defective(df), "id", "defect"))
+    want = truncated_by_counts({i: normalise.canonical(a) for i, _, a in data if got.get(i) in (None, "truncated")})
+    assert len(want) > 100 and len(data) - len(want) > 1000
+    assert {i for i, d in got.items() if d == "truncated"} == want
+    a = [(np.array(g), np.array(n), np.array(e)) for g, n, e in (([1, 3], [5, 6], [0, 1]), ([3, 4], [1, 1], [1, 0]))]
+    assert [x.tolist() for x in pairs._merged(a)] == [[1, 3, 4], [5, 7, 1], [0, 2, 0]]
+
+
 # ---- problem 5
 
 
