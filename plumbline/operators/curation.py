@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -180,3 +181,62 @@ def similar_titles(df: DataFrame, id_col: str, title: str, text: str, title_leas
 
     kind = df.schema[id_col].dataType.simpleString()
     return pairs.join(sides[0], "id_a").join(sides[1], "id_b").mapInArrow(run, f"id_a {kind}, id_b {kind}, title_ratio double, text_ratio double")
+
+
+# What after a number makes it a condition, not a limit.
+CONDITIONAL = ["时", "以下", "以上", "之间", "面积", "1/3", "允许", "靠尺", "套尺", "处"]
+
+
+def numbers(df: DataFrame, id_col: str, text: str, units: dict[str, list[str]]) -> DataFrame:
+    """``id, unit_name, number, followed`` of each number before a spelling of a unit, with the four characters that follow."""
+
+    def of(unit: str, spellings: list[str]) -> Column:
+        pattern = F.lit(r"([0-9]+(?:\.[0-9]+)?)[\s\p{Z}]*(?:" + "|".join(re.escape(x) for x in sorted(spellings, key=lambda x: (-len(x), x))) + r")(?=([\s\S]{0,4}))")
+        both = F.arrays_zip(F.regexp_extract_all(F.col(text), pattern, 1).alias("v"), F.regexp_extract_all(F.col(text), pattern, 2).alias("f"))
+        return F.transform(both, lambda x: F.struct(F.lit(unit).alias("unit_name"), x["v"].cast("double").alias("number"), x["f"].alias("followed")))
+
+    found = F.concat(*(of(u, x) for u, x in units.items()))
+    return df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.explode(found).alias("x")).select("id", "x.*")
+
+
+def checked_rules(df: DataFrame, id_col: str, text: str, rules: DataFrame, units: dict[str, list[str]], near: float = 0.005) -> DataFrame:
+    """``id, rule_id, check_no, status, unit_name, number``: the rules that a text's numbers meet, and numbers that contradict them.
+
+    ``rules``: ``id, keywords, checks`` (``value``, ``unit``, ``operator``). A rule is looked at if the text holds one of its
+    keywords; one without checks passes. Numbers before a conditional hint don't count. A check passes (``paired``) if a number
+    in its unit is within ``near`` of its value, else (``stricter``) if all numbers in its unit are strictly on the safe side.
+    A rule with a paired check and without a stricter one warns (``unpaired``) of each number in a unit of its checks that
+    is near no value of its own checks and, in its unit, of no check of any rule.
+    """
+    spelled = F.create_map(*(F.lit(x) for u, ss in units.items() for s in dict.fromkeys([u, *ss]) for x in (s, u)))
+    r = rules.select(F.col("id").alias("rule_id"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "checks").distinct()
+    checks = r.select("rule_id", F.posexplode("checks").alias("check_no", "c")).select("rule_id", "check_no", F.element_at(spelled, F.coalesce("c.unit", F.lit(""))).alias("unit_name"), F.col("c.value").alias("target"), F.col("c.operator").alias("op"))
+    checks = checks.where("unit_name is not null and target is not null").distinct()
+    told = numbers(df, id_col, text, units).where(~F.col("followed").rlike("|".join(map(re.escape, CONDITIONAL)))).select("id", "unit_name", "number").distinct()
+
+    # a text's substrings are equi-joined with the keywords, so no nested loop is needed
+    words = r.select("rule_id", F.explode("keywords").alias("word")).where("word <> ''").distinct()
+    lengths = words.select(F.length("word").alias("n")).distinct()  # as many rows as there are lengths
+    t = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(lengths)).where(F.length("text") >= F.col("n"))
+    parts = t.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("word"))
+    named = parts.join(words.select("word").distinct(), "word", "left_semi")
+    of = lambda some: named.join(words.join(some, "rule_id", "left_semi"), "word").select("id", "rule_id").distinct()
+
+    bare = of(r.where(F.coalesce(F.size("checks"), F.lit(0)) <= 0))
+    none = lambda kind: F.lit(None).cast(kind)
+    passed = bare.select("id", "rule_id", none("int").alias("check_no"), F.lit("no checks").alias("status"), none("string").alias("unit_name"), none("double").alias("number"))
+    same = told.groupBy("id", "unit_name").agg(F.collect_list("number").alias("numbers"))
+    paired = F.exists("numbers", lambda v: F.abs(v - F.col("target")) <= near)
+    stricter = F.col("op").isin(">=", ">") & (F.array_min("numbers") > F.col("target")) | F.col("op").isin("<=", "<") & (F.array_max("numbers") < F.col("target"))
+    met = of(checks).join(checks, "rule_id").join(same, ["id", "unit_name"]).withColumn("status", F.when(paired, "paired").when(stricter, "stricter")).where("status is not null")
+    held = met.select("id", "rule_id", "check_no", "status", "unit_name", F.col("target").alias("number"))
+
+    active = met.groupBy("id", "rule_id").agg(F.max(F.when(F.col("status") == "stricter", 1).otherwise(0)).alias("s")).where("s = 0").select("id", "rule_id")
+    scope = checks.groupBy("rule_id").agg(F.collect_set("target").alias("targets"), F.collect_set("unit_name").alias("names"))
+    cell = lambda c: F.floor(F.col(c) / (2 * near)).cast("bigint")
+    stated = checks.select("unit_name", "target").distinct().withColumn("cell", F.explode(F.array(*(cell("target") + k for k in (-1, 0, 1)))))
+    seen = told.select("unit_name", "number").distinct().withColumn("cell", cell("number"))
+    globally = seen.join(stated, ["unit_name", "cell"]).where(F.abs(F.col("number") - F.col("target")) <= near).select("unit_name", "number").distinct()
+    open_ = told.join(globally, ["unit_name", "number"], "left_anti")
+    warned = active.join(scope, "rule_id").join(open_, "id").where(F.array_contains("names", F.col("unit_name")) & ~F.exists("targets", lambda v: F.abs(v - F.col("number")) <= near))
+    return passed.unionByName(held).unionByName(warned.select("id", "rule_id", none("int").alias("check_no"), F.lit("unpaired").alias("status"), "unit_name", "number"))

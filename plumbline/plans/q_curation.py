@@ -172,6 +172,19 @@ def rule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("r", F.round("number", 2)).join(known, ["unit_name", "r"], "left").select("ku_id", "unit_name", "number", F.coalesce("hit", F.lit(False)).alias("covered"))
 
 
+# Units of the rules, and their spellings in texts and rules.
+RULE_UNITS = {
+    "mm": ["mm", "毫米"], "cm": ["cm", "厘米"], "m²": ["m²", "㎡", "平方米"], "m": ["米"], "MPa": ["MPa", "兆帕"], "h": ["小时"], "d": ["天"], "min": ["min", "分钟"], "%": ["%", "％"],
+    "mg/m³": ["mg/m³", "mg/m3"], "mg/L": ["mg/L"], "Bq/m³": ["Bq/m³", "Bq/m3"], "℃": ["℃", "°C"], "元": ["元"],
+}
+
+
+@query()
+def rule_check_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the numbers of a description meet, and numbers that contradict a rule it meets."""
+    return V.checked_rules(C.latest_units(spark, sf_dir), "ku_id", "description", table(spark, sf_dir, "verification_rules"), RULE_UNITS).withColumnRenamed("id", "ku_id")
+
+
 @query(
     sql="""select distinct id, clause from (select id, clause, standard from verification_rules where standard like '%-201%') where regexp_matches(coalesce(clause, ''), '(^|[^0-9])([1-4][.][0-9]+)([^0-9]|$)')"""
 )

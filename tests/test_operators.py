@@ -3,6 +3,7 @@
 import datetime
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,46 @@ def test_similar_titles_at_the_threshold(spark):
     assert rows(curation.similar_titles(df, "id", "title", "body"), "id_a", "id_b", "title_ratio") == [(1, 2, 0.8)]
 
 
+def checked(text, rules, names):
+    """The same by loops."""
+    vals = [(float(m[1]), u, text[m.end() : m.end() + 4]) for u, ss in names.items() for m in re.finditer(rf"([0-9]+(?:\.[0-9]+)?)\s*(?:{'|'.join(ss)})", text)]
+    vals = [(v, u) for v, u, f in vals if not any(h in f for h in curation.CONDITIONAL)]
+    anywhere = {(v, u) for _, _, cs in rules for c in cs for v, u in vals if u == c[3] and abs(v - c[2]) <= 0.005}
+    out = set()
+    for rid, words, cs in rules:
+        if not any(w in text for w in words):
+            continue
+        if not cs:
+            out.add((rid, None, "no checks", None, None))
+        active = strict = False
+        for n, (_, op, target, unit, _) in enumerate(cs):
+            same = [v for v, u in vals if u == unit]
+            if any(abs(v - target) <= 0.005 for v in same):
+                active = True
+                out.add((rid, n, "paired", unit, target))
+            elif same and (op in (">=", ">") and all(v > target for v in same) or op in ("<=", "<") and all(v < target for v in same)):
+                active = strict = True
+                out.add((rid, n, "stricter", unit, target))
+        if active and not strict:
+            out |= {(rid, None, "unpaired", u, v) for v, u in vals if u in {c[3] for c in cs} and (v, u) not in anywhere and not any(abs(v - c[2]) <= 0.005 for c in cs)}
+    return out
+
+
+def test_checked_rules_against_loops(spark):
+    r = random.Random(4)
+    names = {"mm": ["mm", "毫米"], "h": ["小时"], "%": ["%"]}
+    words = ["栏杆", "净高", "养护", "含水率"]
+    number = lambda: r.choice([1.0, 1.004, 1.005, 2.5, 3.0, 8.0, 24.0, 48.0])
+    rule = [(f"r{k}", r.sample(words, r.randint(0, 2)), [("x", r.choice([">=", "<=", ">", "<", "=="]), number(), r.choice(list(names)), None) for _ in range(r.randint(0, 3))]) for k in range(30)]
+    texts = ["".join(r.choice(words) + r.choice(["", "，"]) + f"{number():g} " + r.choice(["mm", "毫米", "小时", "%"]) + r.choice(["。", "以上", "时", "，约"]) for _ in range(r.randint(0, 5))) for _ in range(60)]
+    data = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string")
+    df = curation.checked_rules(data, "k", "t", spark.createDataFrame(rule + rule[:3], f"id string, keywords array<string>, checks {CHECK}"), names)
+    want = {(k, *x) for k, t in enumerate(texts) for x in checked(t, rule, names)}
+    assert {x[2 + 1] for x in want} == {"no checks", "paired", "stricter", "unpaired"}
+    got = [tuple(x) for x in df.select("id", "rule_id", "check_no", "status", "unit_name", "number").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 # ---- change log
 
 
