@@ -151,6 +151,38 @@ def kb_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("qid", F.col("id").alias("ku_id"), "score", "core_count", "rank")
 
 
+# Words without weight in a search.
+WEAK = "怎么 什么 为什么 比较 时候 客户 合理 应该 觉得 考虑 问题 可以 希望 担心 一直 总是 真的 多少 大概 咱们 我们 自己 一下 一些 情况 感觉 看法 意见 想法 决定 处理 了解 解释 推荐 建议 说明 讨论 商量 确认 需要 知道 明白 想要 是否 如何 哪里 哪个 哪些 是不是 能不能 要不要 会不会 可不可以 该不该 应不应该 到底 究竟 为啥 一般 通常 平时 日常 大家 这种 那种 这样 那样 来说 来讲 而言 先生 女士 下来 愿意 拖着 不定 省下 还是".split()
+
+
+def blocks_with_bonus(units: DataFrame, searches: DataFrame, k: int = 3) -> DataFrame:
+    """``qid, ku_id, score, core_count, rank``: core words six points in the title, three in the text, at least one; besides, a point for each other substring of the question that either holds.
+
+    ``units``: ``ku_id, title, description``; ``searches``: ``qid, question``. Ties go to more core words, then titles with a chapter number, then the id.
+    """
+    u = units.select(F.col("ku_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"))
+    weak = F.array(*map(F.lit, WEAK))
+    core = F.filter(F.array_distinct(dictionary_words(F.col("question"))), lambda w: ~F.array_contains(weak, w))
+    q = searches.select("qid", core.alias("core"), windows(F.col("question")).alias("parts")).where(F.size("core") > 0)
+    bonus = q.select("qid", F.explode(F.array_except(F.array_except("parts", weak), "core")).alias("word"))
+    held = R.contained(u, DICTIONARY, {"title": 6, "description": 3})
+    cores = F.when(F.col("points") == 9, 2).otherwise(1)
+    s = q.select("qid", F.explode("core").alias("word")).join(held, "word").groupBy("qid", "id").agg(F.sum("points").alias("score"), F.sum(cores).cast("bigint").alias("core_count"))
+    # the units' own substrings, as far as some question has them, meet the questions' by equi-join
+    own = u.select("id", F.explode(F.array_union(windows(F.col("title")), windows(F.col("description")))).alias("word")).join(bonus.select("word").distinct(), "word", "left_semi")
+    extra = bonus.join(own, "word").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("extra"))
+    s = s.join(extra, ["qid", "id"], "left").join(u.select("id", F.col("title").rlike(r"第[\s\p{Z}]*[0-9一二三四五六七八九十百零两]+[\s\p{Z}]*章").alias("chapter")), "id")
+    s = s.withColumn("score", (F.col("score") + F.coalesce("extra", F.lit(0))).cast("bigint"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("core_count"), F.desc("chapter"), F.asc("id"))
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", F.col("id").alias("ku_id"), "score", "core_count", "rank")
+
+
+@query()
+def kb_block_search_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best units of each search as blocks, with a point for each further substring of the question."""
+    return blocks_with_bonus(C.latest_units(spark, sf_dir), C.searches(spark, sf_dir))
+
+
 @query(
     sql=f"""with {C.UNIT_SQL}, {C.ENTRY_SQL},
     kw as (select distinct ku_id, unnest(trigger_keywords) as word from unit),

@@ -228,6 +228,32 @@ def test_similar_titles_at_the_threshold(spark):
     assert rows(curation.similar_titles(df, "id", "title", "body"), "id_a", "id_b", "title_ratio") == [(1, 2, 0.8)]
 
 
+def test_blocks_with_bonus_against_loops(spark):
+    from plumbline.plans.q_retrieval import WEAK, blocks_with_bonus
+
+    r = random.Random(6)
+    bits = ["瓷砖", "空鼓", "地漏", "怎么", "处理", "墙", "厨房", "重新", "，", "a1", "第三章", "渗水"]
+    text = lambda n: "".join(r.choice(bits) for _ in range(n))
+    units = [(f"u{k:02d}", text(r.randint(1, 4)) if k % 9 else None, text(r.randint(2, 9)) if k % 7 else None) for k in range(50)]
+    searches = [(f"q{k}", text(r.randint(1, 7))) for k in range(25)]
+    want, plain = set(), 0
+    for qid, q in searches:
+        core = {w for w in re.findall(TK.alternation(TK.DICTIONARY), q)} - set(WEAK)
+        parts = {s[i:j] for s in re.findall(f"[{TK.HAN}]{{2,}}", q) for i in range(len(s)) for j in range(i + 2, min(i + 6, len(s)) + 1)} - set(WEAK) - core
+        found = []
+        for i, t, d in units:
+            t, d = t or "", d or ""
+            a, b = sum(w in t for w in core), sum(w in d for w in core)
+            if a + b:
+                extra = sum(w in t or w in d for w in parts)
+                plain += extra > 0
+                found.append((-(6 * a + 3 * b + extra), -(a + b), not re.search("第[0-9一二三四五六七八九十百零两]+章", t), i))
+        want |= {(qid, i, -sc, -n, k + 1) for k, (sc, n, _, i) in enumerate(sorted(found)[:3])}
+    assert plain > 20
+    got = blocks_with_bonus(spark.createDataFrame(units, "ku_id string, title string, description string"), spark.createDataFrame(searches, "qid string, question string"))
+    assert {tuple(x) for x in got.select("qid", "ku_id", "score", "core_count", "rank").collect()} == want
+
+
 def checked(text, rules, names):
     """The same by loops."""
     vals = [(float(m[1]), u, text[m.end() : m.end() + 4]) for u, ss in names.items() for m in re.finditer(rf"([0-9]+(?:\.[0-9]+)?)\s*(?:{'|'.join(ss)})", text)]
