@@ -184,20 +184,19 @@ def links(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("questio
 def pairs(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), threshold: float = 0.6, full_class: int = 512) -> DataFrame:
     """``id_a, id_b``: all pairs of different ids at or above ``threshold``, the smaller id first.
 
-    A class of equal texts of more than ``full_class`` ids isn't expanded into its quadratic number of pairs: each of its
-    ids is linked to the class's first id, and links to other classes are given by that first id.
+    Every class of equal texts gives all its pairs and all those with linked classes; the ids of one with more than
+    ``full_class`` are joined over salts of about ``full_class`` ids each.
     """
     empty = int.from_bytes(key128("")[:8], "little", signed=True)
     members, found = links(df, id_col, fields, threshold)
     members = members.where(F.col("h") != empty)
-    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"))
-    shown = members.join(sizes, "h").where((F.col("n") <= full_class) | (F.col("id") == F.col("head")))
-    both = found.join(shown.select(F.col("h").alias("a"), F.col("id").alias("i")), "a").join(shown.select(F.col("h").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
+    sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / full_class).cast("int").alias("salts"), F.count(F.lit(1)).alias("n"))
+    both = found.join(members.select(F.col("h").alias("a"), F.col("id").alias("i")), "a").join(members.select(F.col("h").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
     several = members.join(sizes.where("n > 1"), "h")
-    small = several.where(F.col("n") <= full_class)
-    within = small.select("h", F.col("id").alias("i")).join(small.select("h", F.col("id").alias("j")), "h").where("i < j").select("i", "j")
-    star = several.where((F.col("n") > full_class) & (F.col("id") != F.col("head"))).select(F.col("head").alias("i"), F.col("id").alias("j"))
-    return both.unionByName(within).unionByName(star).where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+    left = several.select("h", F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = several.select("h", F.col("id").alias("j"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    within = left.join(right, ["h", "salt"]).where("i < j").select("i", "j")
+    return both.unionByName(within).where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
 
 def groups(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), threshold: float = 0.6) -> DataFrame:

@@ -103,6 +103,14 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert neardup.pairs(df.where("false")).count() == 0
 
 
+def test_near_duplicates_of_large_classes_give_all_pairs(spark):
+    t = "卫生间的瓷砖空鼓了应该怎么处理比较好先把基层清理干净再刷界面剂"
+    data = [(f"{k:02d}", t + ("。" if k % 2 else "") + ("等三天" if k % 3 == 0 else ""), None) for k in range(24)]
+    want = {(a[0], b[0]) for a in data for b in data if a[0] < b[0]}
+    for bound in (512, 5, 1):
+        assert set(rows(neardup.pairs(entries(spark, data), full_class=bound))) == want
+
+
 def test_signatures_agree_as_often_as_they_should():
     r = random.Random(3)
     a = "".join(r.choice(string.ascii_lowercase) for _ in range(400))
