@@ -271,8 +271,7 @@ def candidates(view: str) -> list[Span]:
     out: list[Span] = []
     if re.search(rf"[{_D}]{_SEP}?[{_D}]", view):
         out += _numbers(view)
-        out += _addresses(view)
-    elif "号" in view:
+    if "号" in view or re.search(rf"[{_D}]", view):
         out += _addresses(view)
     if "@" in view or "at" in view.lower() or "艾特" in view:
         out += _emails(view)

@@ -183,6 +183,11 @@ def test_truncation_counts_exact_ngrams(spark):
 # ---- problem 5
 
 
+@pytest.mark.parametrize("text, address", [("I live at 5 Maple Road", "5 Maple Road"), ("Flat 2, 1 Linden Street", "1 Linden Street")])
+def test_addresses_with_single_digits_are_candidates(text, address):
+    assert any(x.kind == "address" and address in text[x.start : x.end] for x in pii.candidates(text))
+
+
 def test_boosting_learns_a_rule():
     r = np.random.default_rng(1)
     x = r.integers(0, 10, (2000, 4))
