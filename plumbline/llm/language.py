@@ -63,13 +63,13 @@ class LanguageModel:
     def __init__(self, seeds: dict[str, str] | None = None, alpha: float = 0.05) -> None:
         seeds = seeds or SEEDS
         self.languages = sorted(seeds)
-        self.table = np.zeros((4, BUCKETS, len(self.languages)), np.float32)
+        self.table = np.zeros((4, len(self.languages), BUCKETS), np.float32)
         for k, lang in enumerate(self.languages):
             c, piece = codes([seeds[lang]])
             for n, (bucket, _) in enumerate(_grams(c, piece)):
                 count = np.bincount(bucket, minlength=BUCKETS) + alpha
-                self.table[n, :, k] = np.log(count / count.sum())
-        self.table -= self.table.mean(axis=2, keepdims=True)
+                self.table[n, k] = np.log(count / count.sum())
+        self.table -= self.table.mean(axis=1, keepdims=True)
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): the share of each text's letters that lies in pieces whose most probable language it is.
@@ -87,15 +87,16 @@ class LanguageModel:
         wide = (c[at] >= 0x3040) & (c[at] < 0xFB00)
         new[at[1:][wide[1:] != wide[:-1]]] = True
         piece = np.cumsum(new) - 1
-        score = np.zeros((piece[-1] + 1, len(self.languages)), np.float32)
+        score = np.zeros((len(self.languages), piece[-1] + 1), np.float32)
         for n, (bucket, place) in enumerate(_grams(c, piece)):
             if not len(place):
                 continue
-            rows = self.table[n][bucket]
             at = piece[place]
             start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            score[at[start]] += np.add.reduceat(rows, start, axis=0)
-        weight = np.bincount(piece, np.where(_letters(c), np.where((c >= 0x3040) & (c < 0xD7B0), 2.5, 1.0), 0.0), minlength=len(score))
-        np.add.at(out, (doc[new], score.argmax(axis=1)), weight)
+            for k, row in enumerate(self.table[n]):
+                score[k, at[start]] += np.add.reduceat(row[bucket], start)
+        weight = np.bincount(piece, np.where(_letters(c), np.where((c >= 0x3040) & (c < 0xD7B0), 2.5, 1.0), 0.0), minlength=score.shape[1])
+        best = doc[new] * len(self.languages) + score.argmax(axis=0)
+        out = np.bincount(best, weight, minlength=out.size).reshape(out.shape)
         total = out.sum(axis=1, keepdims=True)
         return np.divide(out, total, out=out, where=total > 0)

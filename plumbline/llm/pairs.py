@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,15 @@ REFUSALS = (
     "无法(?:给出|提供|处理|回答|解答|判断|回复|答复|帮|协助|作答|确认|为您|满足|完成|生成)|(?:不能|没法|没办法|无从|未能|难以|不便|不予|不宜|拒绝)(?:给|提供|处理|回答|解答|判断|回复|答复|帮|协助|作答|透露|生成|评论|为您|置评)"
     "|恕(?:不|难)|(?:暂|尚)?不支持|没有?权限|无权|超出了?(?:我|本|系统)?的?(?:能力|范围|权限|职责)|(?:帮不了|帮不上|答不了|回答不了|处理不了)|并?不(?:掌握|清楚|了解|知道|方便)|没有?(?:找到|查到|检索到|搜到)|(?:找|查|搜)不到(?:与|相关|结果)|未(?:找到|查到|检索到)|选择不|不作(?:说明|评价|评论|答)|换个(?:关键词|问法|说法)|(?:语言模型|智能助手|人工智能|机器人)|系统(?:繁忙|错误|异常|维护)|敬请谅解|请.{0,6}换个话题|重新提问|稍后再试|再试一次"
 )
-REFUSALS_LATIN = r"(?:can ?not|can't|could not|couldn't|unable to|not able to|not allowed to|won't|will not|must decline|have to decline) (?:help|answer|assist|give|provide|advise|comment|respond|say|discuss|share|process)|(?:prefer|choose|chose|choosing) not to|(?:could not|couldn't|did not|didn't) find|no (?:results?|matching|related)|as an ai|language model|beyond my|outside (?:my|the) (?:scope|ability)|no permission|not authori[sz]ed|failed to generate|no puedo|lo siento|申し訳|お答えでき"
+REFUSALS_LATIN = r"(?:can ?not|can't|could not|couldn't|unable to|not able to|not allowed to|won't|will not|must decline(?: to)?|have to decline(?: to)?) (?:help|answer|assist|give|provide|advise|comment|respond|say|discuss|share|process)|(?:prefer|choose|chose|choosing) not to|(?:could not|couldn't|did not|didn't) find|no (?:results?|matching|related)|as an ai|language model|beyond my|outside (?:my|the) (?:scope|ability)|no permission|not authori[sz]ed|failed to generate|no puedo|lo siento|申し訳|お答えでき"
 _REFUSAL = re.compile(f"{REFUSALS}|{REFUSALS_LATIN}", re.I)
+# Pieces of which every phrase above holds one, in lower case; texts without any need no search for the phrases.
+_STEMS = "无法 不能 没法 没办法 无从 未能 难以 不便 不予 不宜 拒绝 恕 不支持 权限 无权 超出 帮不 答不 处理不 不掌握 不清楚 不了解 不知道 不方便 找到 查到 检索到 搜到 不到 选择不 不作 换个 语言模型 智能助手 人工智能 机器人 系统 敬请谅解 重新提问 稍后再试 再试一次 申し訳 お答え".split()
+_STEMS_LATIN = ("cannot", "can not", "can't", "could not", "couldn't", "unable to", "not able to", "not allowed to", "won't", "will not", "decline", "not to", "did not find", "didn't find", "no result", "no matching", "no related", "as an ai", "language model", "beyond my", "outside my", "outside the", "permission", "not authori", "failed to generate", "no puedo", "lo siento")
+_AUTOMATON = ahocorasick.Automaton()
+for _stem in (*_STEMS, *_STEMS_LATIN):
+    _AUTOMATON.add_word(_stem, None)
+_AUTOMATON.make_automaton()
 _SENTENCE = re.compile(r"[^。!?\n;~]+?(?:\.(?=\s|$)|[。!?\n;~]|$)")
 # Greetings and closing phrases, which are no advice.
 _POLITE = re.compile(r"^(?:您好|你好|收到|感谢(?:提问|咨询|您的提问)?|谢谢(?:提问|您)?|答|好的|亲|hello|hi|thanks?(?: you)?(?: for asking)?|祝(?:您|你)?(?:装修)?顺利|回复完毕|仅供参考|以上(?:仅供参考|供您参考)?|有变化随时再问|数据会浮动|等等|具体以现场为准|给您添麻烦了)$", re.I)
@@ -41,18 +49,26 @@ _END_MARK = frozenset(".。!?…~)」』”\"】]")
 
 #: Different n-grams that a task holds before it passes their counts on.
 HELD = 1 << 21
+#: Rows whose arrays are made at once, so that they stay in the processor's caches.
+AT_ONCE = 2000
 #: Likelihood of an end anywhere, and the weight of a shorter n-gram against a longer one's counts.
 PRIOR, WEIGHT = 0.004, 5.0
 
 
 def is_empty(answer: str | None) -> bool:
-    k = letters_and_digits(canonical(answer or ""))
-    return not k or k in FILLERS
+    return _nothing(letters_and_digits(canonical(answer or "")))
+
+
+def _nothing(a: str) -> bool:
+    return not a or a in FILLERS
 
 
 def is_copy(question: str, answer: str, most: int = 14) -> bool:
     """Both canonical. ``most``: letters and digits that the answer may have besides the question."""
-    q, a = letters_and_digits(question), letters_and_digits(answer)
+    return _copies(letters_and_digits(question), letters_and_digits(answer), most)
+
+
+def _copies(q: str, a: str, most: int = 14) -> bool:
     if len(q) < 6:
         return bool(q) and q == a
     return q in a and len(a.replace(q, "")) <= most or a in q and len(a) >= 0.75 * len(q)
@@ -60,6 +76,8 @@ def is_copy(question: str, answer: str, most: int = 14) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Of the canonical answer's sentences, greetings left out, those with a phrase of inability hold seven tenths of the letters, counted with the questions of whom to ask instead."""
+    if next(_AUTOMATON.iter(answer.lower()), None) is None:
+        return False
     no = rest = 0
     for m in _SENTENCE.finditer(answer):
         s = m.group()
@@ -114,24 +132,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [None] * len(held[0][0])
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, none, *held.pop()), kinds, strict=True)], names=names)
 
-    for b in batches:
+    for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
         ids = b.column(0).to_pylist()
         qs = [canonical(x or "") for x in b.column(1).to_pylist()]
-        raw = b.column(2).to_pylist()
-        ans = [canonical(x or "") for x in raw]
-        ql, al = model.shares(qs), model.shares(ans)
+        ans = [canonical(x or "") for x in b.column(2).to_pylist()]
         defects: list[str | None] = []
-        for q, a, x, y in zip(qs, ans, ql, al, strict=True):
-            if is_empty(a):
-                defects.append("empty")
-            elif is_copy(q, a):
-                defects.append("copy")
-            elif is_refusal(a):
-                defects.append("refusal")
-            elif x.max() > 0 and y.max() > 0 and y[x.argmax()] < 0.2:
-                defects.append("language")
-            else:
-                defects.append(None)
+        for q, a in zip(qs, ans, strict=True):
+            k = letters_and_digits(a)
+            defects.append("empty" if _nothing(k) else "copy" if _copies(letters_and_digits(q), k) else "refusal" if is_refusal(a) else None)
+        rest = [k for k, d in enumerate(defects) if d is None]
+        different = {q: k for k, q in enumerate(dict.fromkeys(qs[k] for k in rest))}
+        ql, al = model.shares(list(different)), model.shares([ans[k] for k in rest])
+        for k, y in zip(rest, al, strict=True):
+            x = ql[different[qs[k]]]
+            if x.max() > 0 and y.max() > 0 and y[x.argmax()] < 0.2:
+                defects[k] = "language"
         kept = [a for a, d in zip(ans, defects, strict=True) if d is None]
         c, doc = codes(kept)
         c = _points(c, doc)

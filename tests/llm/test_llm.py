@@ -142,6 +142,13 @@ def test_defects(spark):
     assert pairs.defective(entries(spark, data).where("false")).count() == 0
 
 
+def test_every_phrase_of_refusal_holds_a_stem():
+    said = "无法提供 不能回答 没办法帮 无从判断 难以处理 拒绝透露 恕不奉告 暂不支持 没有权限 超出我的范围 帮不上 处理不了 并不清楚 没找到 查不到相关 未检索到 选择不答 不作评价 换个说法 人工智能 系统繁忙 敬请谅解 请您先换个话题 重新提问 稍后再试".split()
+    said += ["I CANNOT answer", "can not help", "couldn't find", "unable to assist", "Won't discuss", "must decline to answer", "choosing not to", "did not find", "No results", "no matching", "as an AI", "Beyond my", "outside the scope", "no permission", "not authorised", "failed to generate", "no puedo", "lo siento", "申し訳", "お答えできません"]
+    for s in said:
+        assert pairs._REFUSAL.search(s) and next(pairs._AUTOMATON.iter(s.lower()), None) is not None, s
+
+
 def truncated_by_counts(answers, least=0.012):
     """The ids of ``answers`` (canonical, without another defect) that end where texts seldom do, from dictionaries of n-grams."""
     seen, ends, last = {}, {}, {}
