@@ -31,6 +31,12 @@ from plumbline.operators.graph import connected_components
 from plumbline.session import drop, materialise
 
 
+#: Texts that a task remembers to pass each on but once.
+SEEN = 1 << 20
+#: Texts whose signatures are made at once.
+AT_ONCE = 1000
+
+
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all trigrams of the texts, and the index of the text that each is from. A text of one or two characters is its own piece."""
     texts = [t if len(t) > 2 or not t else t + "\0" * (3 - len(t)) for t in texts]
@@ -88,36 +94,53 @@ def signatures(texts: list[str], coordinates: int = 64, rows: int = 5) -> tuple[
     return (posted >> np.uint64(32)).astype(np.uint32).view(np.int32), words
 
 
-def signed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), coordinates: int = 64, rows: int = 5) -> DataFrame:
-    """``id, h, text, posted, w0...``: 64 bits of the hash of each record's key text; the text and its signature stand only in the first row of that text in a task.
+def keyed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer")) -> DataFrame:
+    """``id, key, text``: 128 bits of each record's key text, which itself stands only in the first row of that text in a task and is null elsewhere.
 
-    So a group of equal texts has one signature for each task. Rows without id have none; null fields are empty; a record
-    with an empty key has no signature.
+    Rows without id have none; null fields are empty; a record with an empty key text has no key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
-            texts: list[str | None] = [letters_and_digits(canonical("".join(x or "" for x in row))) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
-            hs = [int.from_bytes(key128(t)[:8], "little", signed=True) for t in texts]
-            for i, h in enumerate(hs):
-                if h in seen or not texts[i]:
-                    texts[i] = None
-                seen.add(h)
-            first = np.array([t is not None for t in texts], bool)
-            at = np.full(len(texts), -1, np.int64)
-            at[first] = np.arange(first.sum())
-            posted, words = signatures([t for t in texts if t is not None], coordinates, rows)
-            take = pa.array(at, mask=~first)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(posted.ravel()), coordinates).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(hs, pa.int64()), pa.array(texts, pa.string()), lists.take(take), *(pa.array(words[:, w]).take(take) for w in range(rows))],
-                names=["id", "h", "text", "posted", *(f"w{w}" for w in range(rows))],
-            )
+            keys: list[bytes | None] = []
+            texts: list[str | None] = []
+            for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                t = letters_and_digits(canonical("".join(x or "" for x in row)))
+                k = key128(t) if t else None
+                keys.append(k)
+                texts.append(None if k is None or k in seen else t)
+                if len(seen) >= SEEN:  # a text that comes again then stands twice, which the shuffle mends
+                    seen.clear()
+                if k is not None:
+                    seen.add(k)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(texts, pa.string())], names=["id", "key", "text"])
 
     cols = [F.col(f"`{id_col}`").cast("string").alias("id"), *(F.col(f"`{f}`").cast("string").alias(f"f{k}") for k, f in enumerate(fields))]
-    schema = "id string, h bigint, text string, posted array<int>, " + ", ".join(f"w{w} bigint" for w in range(rows))
-    return materialise(df.select(*cols).where("id is not null").mapInArrow(run, schema), "signed")
+    return materialise(df.select(*cols).where("id is not null").mapInArrow(run, "id string, key binary, text string"), "keyed")
+
+
+def signed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), coordinates: int = 64, rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Membership ``id, h`` and the different texts ``h, text, posted, w0...``, once each, with their signatures.
+
+    Texts are told apart by 128 bits of their hash; ``h`` is a number given to each of them, null for an empty key text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                posted, words = signatures(b.column(1).to_pylist(), coordinates, rows)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(posted.ravel()), coordinates).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(rows))], names=["key", "text", "posted", *(f"w{w}" for w in range(rows))])
+
+    found = keyed(df, id_col, fields)
+    schema = "key binary, text string, posted array<int>, " + ", ".join(f"w{w} bigint" for w in range(rows))
+    once = found.where("text is not null").groupBy("key").agg(F.first("text").alias("text"))
+    texts = materialise(once.mapInArrow(run, schema).withColumn("h", F.monotonically_increasing_id()), "signed")
+    members = materialise(found.select("id", "key").distinct().join(texts.select("key", "h"), "key", "left").select("id", "h"), "members")
+    drop(found)
+    return members, texts.drop("key")
 
 
 def jaccard(a: str, b: str) -> float:
@@ -142,43 +165,41 @@ def _exact(threshold: float):
     return run
 
 
-def class_links(sig: DataFrame, threshold: float = 0.6, coordinates: int = 64, rows: int = 5, matches: int = 224, rounds: int = 4) -> DataFrame:
-    """``a, b, similarity``: every pair of different texts (by their hashes, a < b) of ``signed`` at or above ``threshold``.
+def class_links(texts: DataFrame, threshold: float = 0.6, coordinates: int = 64, rows: int = 5, matches: int = 224, rounds: int = 4) -> DataFrame:
+    """``a, b, similarity``: every pair of different texts (by their numbers, a < b) of ``signed`` at or above ``threshold``.
 
     ``matches`` of the 320 unposted bits (64 coordinates of 5 rows) must agree; by default 224, four and a half deviations under
     the 256 expected at 0.6. The coordinates are joined in ``rounds``, so that the postings of one round only are on disk at a time.
     """
     if coordinates > 64 or coordinates % rounds:
         raise ValueError("64 coordinates at most, the same number in each round")
-    first = sig.where("posted is not null")
     found = []
     for r in range(rounds):
         each = coordinates // rounds
-        own = first.select("h", F.posexplode(F.slice("posted", r * each + 1, each)).alias("k", "v"))
+        own = texts.select("h", F.posexplode(F.slice("posted", r * each + 1, each)).alias("k", "v"))
         post = own.select(F.col("h"), (F.shiftleft(F.col("k").cast("bigint"), 32) + F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
         met = post.alias("x").join(post.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
         found.append(materialise(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions")), f"round{r}"))
     met = functools.reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.sum("collisions").alias("collisions"))
-    bits = first.groupBy("h").agg(*(F.min(f"w{w}").alias(f"w{w}") for w in range(rows)))
-    sides = [bits.select(F.col("h").alias(s), *(F.col(f"w{w}").alias(f"{s}{w}") for w in range(rows))) for s in "ab"]
+    sides = [texts.select(F.col("h").alias(s), *(F.col(f"w{w}").alias(f"{s}{w}") for w in range(rows))) for s in "ab"]
     agree = functools.reduce(lambda x, y: x + y, (64 - F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(rows))) - rows * (64 - coordinates)
     kept = materialise(met.join(sides[0], "a").join(sides[1], "b").where(agree >= matches).select("a", "b"), "candidates")
     for x in found:
         drop(x)
     wanted = kept.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = first.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    sides = [texts.select(F.col("h").alias(s), F.col("text").alias(f"t{s}")) for s in "ab"]
+    asked = texts.select("h", "text").join(wanted, "h", "left_semi")
+    sides = [asked.select(F.col("h").alias(s), F.col("text").alias(f"t{s}")) for s in "ab"]
     return kept.join(sides[0], "a").join(sides[1], "b").mapInArrow(_exact(threshold), "a bigint, b bigint, similarity double")
 
 
 def links(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """Membership ``id, h`` of every id, and the links ``a, b, similarity`` between classes of equal texts.
+    """Membership ``id, h`` of every id (null for an empty key), and the links ``a, b, similarity`` between classes of equal texts.
 
     Null fields are empty texts; records whose key is empty are linked to none. Repeated rows count once; an id with several
     contents is in several classes. An empty table gives empty results.
     """
-    sig = signed(df, id_col, fields)
-    return sig.select("id", "h").distinct(), materialise(class_links(sig, threshold), "links")
+    members, texts = signed(df, id_col, fields)
+    return members, materialise(class_links(texts, threshold), "links")
 
 
 def pairs(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), threshold: float = 0.6, full_class: int = 512) -> DataFrame:
@@ -187,9 +208,8 @@ def pairs(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("questio
     Every class of equal texts gives all its pairs and all those with linked classes; the ids of one with more than
     ``full_class`` are joined over salts of about ``full_class`` ids each.
     """
-    empty = int.from_bytes(key128("")[:8], "little", signed=True)
     members, found = links(df, id_col, fields, threshold)
-    members = members.where(F.col("h") != empty)
+    members = members.where("h is not null")
     sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / full_class).cast("int").alias("salts"), F.count(F.lit(1)).alias("n"))
     both = found.join(members.select(F.col("h").alias("a"), F.col("id").alias("i")), "a").join(members.select(F.col("h").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
     several = members.join(sizes.where("n > 1"), "h")
@@ -200,10 +220,14 @@ def pairs(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("questio
 
 
 def groups(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), threshold: float = 0.6) -> DataFrame:
-    """One row for each id: ``id, group_id, n_links``: its group (connected texts; the group's least id) and the number of other texts it is linked to."""
+    """One row for each id: ``id, group_id, n_links``: its group (connected texts; the group's least id) and the number of other texts it is linked to.
+
+    An id whose key is empty is a group by itself. An id with several contents has the least of their groups and the most of their links.
+    """
     members, found = links(df, id_col, fields, threshold)
     comp = connected_components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    named = members.join(comp.withColumnRenamed("node", "h"), "h", "left").join(degree, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    named = members.where("h is not null").join(comp.withColumnRenamed("node", "h"), "h", "left").join(degree, "h", "left").withColumn("component", F.coalesce("component", "h"))
     first = named.groupBy("component").agg(F.min("id").alias("group_id"))
-    return named.join(first, "component").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    alone = members.where("h is null").select("id", F.col("id").alias("group_id"), F.lit(None).cast("bigint").alias("n_links"))
+    return named.join(first, "component").select("id", "group_id", "n_links").unionByName(alone).groupBy("id").agg(F.min("group_id").alias("group_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -111,6 +111,17 @@ def test_near_duplicates_of_large_classes_give_all_pairs(spark):
         assert set(rows(neardup.pairs(entries(spark, data), full_class=bound))) == want
 
 
+def test_texts_repeated_in_every_partition_are_signed_once(spark):
+    t = "卫生间的瓷砖空鼓了应该怎么处理比较好先把基层清理干净再刷界面剂"
+    data = [(f"{k:03d}", t + ("等三天再贴" if k % 2 else ""), "。" if k % 3 else None) for k in range(160)] + [("e1", None, None), ("e2", " ", "？"), ("e2", None, None)]
+    df = entries(spark, data).repartition(8)
+    members, texts = neardup.signed(df)
+    assert texts.count() == 2 == texts.select("h").distinct().count() and members.count() == 162 and members.where("h is null").count() == 2
+    assert neardup.class_links(texts).count() == 1
+    got = {i: (g, n) for i, g, n in rows(neardup.groups(df), "id", "group_id", "n_links")}
+    assert got == {f"{k:03d}": ("000", 1) for k in range(160)} | {"e1": ("e1", 0), "e2": ("e2", 0)}
+
+
 def test_signatures_agree_as_often_as_they_should():
     r = random.Random(3)
     a = "".join(r.choice(string.ascii_lowercase) for _ in range(400))
