@@ -4,10 +4,11 @@ Canonical form of a text:
 
 * compatibility characters (full width, ligatures, squared units, radicals, compatibility ideographs) become their plain
   equivalents, composed by NFC; superscripts and subscripts stay, since they look different;
-* characters that are not seen (zero width, soft hyphen, marks of direction, byte order mark) are dropped;
+* characters that are not seen (all format characters but a few Arabic ones, selectors of variants, tags, fillers) are dropped;
 * every kind of blank becomes a space, every kind of line end a line feed; both are dropped at the ends of the text;
-* Cyrillic and Greek letters that look like Latin ones become Latin, unless their word holds letters of these scripts
-  without such a twin and no Latin letter, as real Cyrillic or Greek words do.
+* signs that look like ASCII ones (dashes, quotes, ratio sign) become these, radicals without decomposition their ideographs;
+* letters of other scripts that look like Latin ones, with or without marks, become Latin, unless their word holds letters of
+  these scripts without such a twin and no Latin letter, as real Cyrillic or Greek words do.
 
 Case, accents, numbers of inner blanks and line breaks are visible and stay.
 
@@ -30,15 +31,40 @@ from pyspark.sql import functions as F
 
 from plumbline.session import materialise
 
-# Letters that look like Latin ones, and signs that look like ASCII ones.
-LOOKALIKE_FROM = "АВЕКМНОРСТХУЅІЈаеорсухѕіјԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικονρυϲϳ‐‑‒−’‘“”"
-LOOKALIKE_TO = "ABEKMHOPCTXYSIJaeopcyxsijdqwhABEZHIKMNOPTYXaikovpucj----''\"\""
-# Characters without a visible form, and blanks.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️﻿"
-BLANKS = "\t               　⠀"
-LINE_ENDS = "\r\u000b\u000c\u0085  "
+# Letters of other scripts that look like Latin ones: Cyrillic, Greek, Armenian, Coptic, Lisu, Cherokee, phonetic letters.
+LOOKALIKE_FROM = "АВЕКМНОРСТХУЅІЈаеорсухѕіјԁԛԝһѴѵҮԌԚԜӀӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικονρυϲϳϹօսհոՕՏⲞⲟⲢⲣⲤⲥⲔⲘⲎⲬꓐꓑꓓꓔꓖꓗꓙꓚꓝꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴꓜᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴɡᴄᴏᴠᴡᴢꜱᴜ"
+LOOKALIKE_TO = "ABEKMHOPCTXYSIJaeopcyxsijdqwhVvYGQWIlABEZHIKMNOPTYXaikovpucjCouhnOSOoPpCcKMHXBPDTGKJCFNLSRVHWXYAEIOUZDRTAJEWMHGZSVLCPKBgcovwzsu"
+# Signs that look like ASCII ones or the middle dot, and radicals that look like ideographs but have no decomposition.
+SIGNS_FROM = "‐‑‒–⁃−’‘‛′ʼ“”‟″∶꞉˸⁄∕∗∼〜‚∙⋅‧ꞏ"
+SIGNS_TO = "------'''''\"\"\"\":::" + "//*~~," + "····"
+RADICALS_FROM = "⺠⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰"
+RADICALS_TO = "民西见角贝车长门青韦页风飞食马骨鬼鱼鸟麦黄齐齿龙"
+# Characters without a visible form besides those of format and the selectors of variants; format characters that are seen; blanks.
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+SEEN_FORMAT = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
+BLANKS = "\t \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u2800"
+LINE_ENDS = "\r\u000b\u000c\u0085\u2028\u2029"
 
 _TWIN = dict(zip(LOOKALIKE_FROM, LOOKALIKE_TO, strict=True))
+_SIGN = dict(zip(SIGNS_FROM + RADICALS_FROM, SIGNS_TO + RADICALS_TO, strict=True))
+
+
+def _marked() -> dict[str, str]:
+    """Single characters that are a letter with a Latin twin and marks, such as an iotified E with a diaeresis, by the twin with the same marks."""
+    out = {}
+    for code in (*range(0x370, 0x590), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base in _TWIN:
+            out[chr(code)] = unicodedata.normalize("NFC", _TWIN[base] + "".join(marks))
+    return out
+
+
+_TWIN |= _marked()
+
+
+def _unseen(ch: str) -> bool:
+    """Format characters, selectors of variants and fillers."""
+    return ch in INVISIBLE or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef" or unicodedata.category(ch) == "Cf" and ch not in SEEN_FORMAT and not "\U00013430" <= ch <= "\U0001345f"
 
 
 def _keeps(ch: str) -> bool:
@@ -48,7 +74,9 @@ def _keeps(ch: str) -> bool:
 
 def _single(ch: str) -> str:
     """The canonical form of a character, without regard to its neighbours."""
-    if ch in INVISIBLE:
+    if ch in _SIGN:
+        return _SIGN[ch]
+    if _unseen(ch):
         return ""
     if ch in BLANKS:
         return " "
@@ -67,7 +95,7 @@ def _single(ch: str) -> str:
 def _tables() -> tuple[dict[str, str], str, str]:
     """Single replacements; the class of characters that change alone; that of those which may compose with what precedes."""
     alone, compose = {}, []
-    for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]:
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]:
         ch = chr(code)
         if unicodedata.combining(ch) or 0x1161 <= code <= 0x1175 or 0x11A8 <= code <= 0x11C2:
             compose.append(ch)
@@ -85,17 +113,18 @@ def _tables() -> tuple[dict[str, str], str, str]:
             last = c
         return out
 
-    return alone, ranges([*alone, *_TWIN]) + "\U00010000-\U0001f2ff\U0002f800-\U0002fa1f", ranges(compose)
+    # beyond the basic plane a few whole blocks, as each more range costs time for every character
+    return alone, ranges([*alone, *_TWIN]) + "\U00010000-\U0001f2ff\U0001fbf0-\U0001fbf9\U0002f800-\U0002fa1f\U000e0000-\U000e01ff", ranges(compose)
 
 
 _ALONE, _U, _C = _tables()
 _UNSTABLE = re.compile(f"[{_U}]+")
 _COMPOSING = re.compile(f"[{_C}]")
 _WITH_CONTEXT = re.compile(f"[^{_U}{_C}][{_U}]*[{_C}][{_U}{_C}]*|[{_U}{_C}]+")
-_TWINS = re.compile(f"[{re.escape(LOOKALIKE_FROM)}]")
+_TWINS = re.compile(f"[{re.escape(''.join(_TWIN))}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-z]")
-_OWN_SCRIPT = re.compile(r"[Ͱ-ϿЀ-ԯ]")
+_OWN_SCRIPT = re.compile(r"[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-Ᏽἀ-῾Ⲁ-⳿ꓐ-ꓽꭰ-ꮿ]")
 _cache: dict[str, str] = {}
 
 
@@ -129,7 +158,6 @@ def canonical(text: str | None) -> str | None:
         text = _UNSTABLE.sub(_segment, text.replace("\r\n", "\n") if "\r" in text else text)
     if _TWINS.search(text):
         text = _WORD.sub(_latin, text)
-        text = re.sub("[‐‑‒−’‘“”]", lambda m: _TWIN[m.group()], text)
         if _COMPOSING.search(text):  # a mark on a letter that is Latin only now
             text = unicodedata.normalize("NFC", text)
     return text.strip(" \n")

@@ -22,6 +22,7 @@ def rows(df, *cols):
 @pytest.mark.parametrize("text, form", [
     ("ａｂｃ　１２㎡", "abc 12m²"), ("é", "é"), ("e​́", "é"), ("⽔⼯", "水工"), ("理", "理"), ("Νρ6270", "Np6270"), ("pаy", "pay"), ("a\r\nb\rc", "a\nb\nc"), ("\xa0x ​", "x"), ("㎜", "mm"), ("m²", "m²"),
     ("Москва", "Москва"), ("", ""), (None, None), ("A a", "A a"), ("a  b", "a  b"), ("가", "가"), ("🙂", "🙂"), ("́", "́"),
+    ("Ӧlbad", "Ölbad"), ("О\u0308lbad", "Ölbad"), ("tὸp", "tòp"), ("моё", "моё"), ("sӏow cօde ɡood", "slow code good"), ("3∶1", "3:1"), ("x\U000e0100y\U000e0041\u206a\ufff9z", "xyz"), ("\U0001fbf22", "22"), ("⺠宅", "民宅"),
 ])
 def test_canonical(text, form):
     assert normalise.canonical(text) == form
