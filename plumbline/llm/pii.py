@@ -12,6 +12,7 @@ Detection sees each character in half width; characters without form are passed
 
 from __future__ import annotations
 
+import datetime
 import random
 import re
 import unicodedata
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.boosting import Boosted
 
+#: Different texts whose redacted form a task keeps, since texts of logs come again.
+KNOWN = 100_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Family names, the compound ones after them.
@@ -50,6 +53,21 @@ _GROUP = re.compile(rf"[{_D}]+[xX]?(?![A-Za-z])|[{_D}]+")
 _JOINED_LEFT = re.compile(rf"(?:[{_D}]+[xX]?{_SEP}{{1,2}})+$")
 _JOINED_RIGHT = re.compile(rf"^(?:{_SEP}{{1,2}}[{_D}]+[xX]?)+")
 _JOINT = re.compile(rf"{_SEP}{{1,2}}|[()]|[()]{_SEP}|{_SEP}[()]")
+_IDENTITY = r"[1-8]\d{5}(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dxX]"
+_TILES = re.compile(rf"(?:{_IDENTITY}|(?:86)?1[3-9]\d{{9}}){{2,}}")
+_TILE = re.compile(rf"({_IDENTITY}|(?:86)?1[3-9]\d{{9}})")
+_INNER_ID = re.compile(rf"(?=({_IDENTITY}))")
+_JOINTS = frozenset(" -.·_—–~－")
+_NOT_DIGIT = re.compile("[^0-9xX]")
+_ASCII_DIGIT = re.compile("[0-9xX]")
+_DIGIT = re.compile(rf"[{_D}xX]")
+_DIGITS = re.compile(rf"[{_D}xX]+")
+_MOBILE = re.compile(r"1[3-9]\d{9}")
+_LANDLINE = re.compile(r"0(?:10|2\d|[3-9]\d{2})[2-8]\d{6,7}")
+_SERVICE = re.compile(r"[48]00\d{7}")
+_DATED = re.compile(r"(?:19|20)\d\d[- ./]\d{1,2}[- ./]\d{1,2}")
+_TWO_DIGITS = re.compile(rf"[{_D}]{_SEP}?[{_D}]")
+_ANY_DIGIT = re.compile(rf"[{_D}]")
 _DOT = r"(?:\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|点)\s*|\s+dot\s+|\s?[.。．。]\s?)"
 _AT_SIGN = r"\s*(?:@|\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|艾特|#at#)\s*"
 _AT = rf"(?:{_AT_SIGN}|\s+at\s+)"
@@ -58,12 +76,23 @@ _HOUSE = rf"[{_D}十百]{{1,6}}(?:[\-－之][{_D}]{{1,5}})?"
 _MORE = rf"(?:\s*[{_D}]{{1,4}}(?:[\-－][{_D}]{{1,5}}){{1,3}})?(?:\s*(?:[一-鿿]{{2,6}}(?:里|坊|园|居|苑|府|湾|庭|城|庄|轩|阁|小区|公寓|花园|家园|大厦))?\s*(?:[{_D}A-Za-z]{{1,5}}\s*(?:号楼|栋|幢|座|单元|室|层|楼|户|号)|[\-－][{_D}]{{1,5}}))*(?:\s*[{_D}]{{2,5}}(?![{_D}]))?"
 _ADDRESS = re.compile(rf"(?:[一-鿿]{{1,7}}(?:省|市|自治区))?(?:[一-鿿]{{1,7}}(?:区|县|镇|乡))?[一-鿿]{{1,8}}?(?:大街|大道|胡同|路|街|道|巷|弄|里弄)(?:[东西南北中]段)?\s*{_HOUSE}\s*(?:号院|号|弄){_MORE}")
 _ADDRESS_EN = re.compile(r"(?:(?:Flat|Apt|Apartment|Unit|Room|Suite)\.?\s*\d+\w?\s*,\s*)?\d{1,5}\w?\s+(?:[A-Z][a-z]+\s+){1,3}(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Way|Close|Boulevard|Blvd|Place|Square|Terrace)(?![A-Za-z])\.?(?:\s*,\s*(?:Flat|Apt|Apartment|Unit|Room|Suite)\.?\s*\d+\w?)?")
-_NAME_EN = re.compile(r"(?<![A-Za-z])[A-Z][a-z]{1,14}(?:[ ·][A-Z]\.)?[ ·][A-Z][a-z]{1,15}(?![A-Za-z])")
+_STREET, _STREET_EN = re.compile("[路街道巷弄]|胡同"), re.compile(r"\d\w? +[A-Z]")
+_NAME_EN = re.compile(r"(?<![A-Za-z])([A-Z][a-z]{1,14}(?:[ ·][A-Z]\.)?[ ·][A-Z][a-z]{1,15})(?![A-Za-z])")
+# In one case only, a name is looked for after a label.
+_NAME_ANY_CASE = re.compile(r"(?:\bname(?: is|:| :)|\bi am|\bi'm|\bthis is|\bask for|姓名|联系人|收件人|收货人|业主|户主|抬头)[ ::]*(?:是[ ::]*)?((?:[a-z]{2,15}|[A-Z]{2,15})[ ·](?:[a-z]{2,16}|[A-Z]{2,16}))(?![A-Za-z])", re.I)
+_NAME_END = re.compile(r"\s*(?:[^\w\s]|$|\d|[一-鿿]|(?:and|from|at|on|phone|tel|email|mobile|of|here)\b)", re.I)
+_LATIN_WORD = re.compile(r" ?([A-Za-z]+)?")
+_HOUSE_BEFORE = re.compile(r"\d+\w?\s*$")
+_CODE_AFTER = re.compile(r" [A-Z]{1,3}\d")
+_LABELLED = re.compile(r"(?:业主|户主|收件人|收货人|联系人|姓名|签收人|申请人|经办人|付款人|名叫)(?:姓名|信息)?(?:是|为|叫)?[ ::]*")
 _NOT_NAME_EN = frozenset("street road lane avenue drive court way close boulevard place square terrace flat apt apartment unit room suite my the please keep ask before after at do our if once leave hello dear thanks note best first second order batch main floor water new no how what when where which who why is are can north south east west".split())
 _SURNAME = frozenset(SURNAMES)
+_RANK = {c: min(SURNAMES.find(c), 239) // 20 for c in SURNAMES}
+_THIS_YEAR = str(datetime.date.today().year)
+_FAMILY = re.compile(rf"(?=({'|'.join(COMPOUND)}|[{SURNAMES}]))")
 
 
-@dataclass
+@dataclass(slots=True)
 class Span:
     kind: str
     start: int
@@ -72,27 +101,37 @@ class Span:
     p: float = 0.0
 
 
-def _view(text: str) -> tuple[str, list[int]]:
+class _HalfWidth(dict):
+    """For ``str.translate``: a character's one in half width; None for one without form. Filled as characters come."""
+
+    def __missing__(self, code: int) -> int | None:
+        ch = chr(code)
+        to: int | None = code
+        if code in (0xA0, 0xAD) or code >= 0x2000 and not 0x4E00 <= code <= 0x9FFF:
+            kind = unicodedata.category(ch)
+            if 0xFF01 <= code <= 0xFF5E:
+                to = code - 0xFEE0
+            elif kind == "Cf":
+                to = None
+            elif kind == "Zs":
+                to = 32
+            elif len(n := unicodedata.normalize("NFKC", ch)) == 1:
+                to = ord(n)
+        self[code] = to
+        return to
+
+
+_HALF_WIDTH = _HalfWidth()
+
+
+def _view(text: str) -> tuple[str, range | list[int]]:
     """The text in half width without invisible characters, and each character's place in the text."""
     if text.isascii():
-        return text, list(range(len(text) + 1))
-    out, at = [], []
-    for k, ch in enumerate(text):
-        code = ord(ch)
-        if code >= 0x2000 or code == 0xA0 or code == 0xAD:
-            if 0xFF01 <= code <= 0xFF5E:
-                ch = chr(code - 0xFEE0)
-            elif not 0x4E00 <= code <= 0x9FFF:
-                kind = unicodedata.category(ch)
-                if kind == "Cf":
-                    continue
-                if kind == "Zs":
-                    ch = " "
-                elif len(n := unicodedata.normalize("NFKC", ch)) == 1:
-                    ch = n
-        out.append(ch)
-        at.append(k)
-    return "".join(out), [*at, len(text)]
+        return text, range(len(text) + 1)
+    view = text.translate(_HALF_WIDTH)
+    if len(view) == len(text):
+        return view, range(len(text) + 1)
+    return view, [*(k for k, ch in enumerate(text) if _HALF_WIDTH[ord(ch)] is not None), len(text)]
 
 
 def _han(ch: str) -> bool:
@@ -119,56 +158,80 @@ def _check_digit(d: str) -> bool:
 
 
 def _date(d: str) -> bool:
-    return d.isdigit() and len(d) == 8 and "1900" <= d[:4] <= "2026" and "01" <= d[4:6] <= "12" and "01" <= d[6:] <= "31"
+    return d.isdigit() and len(d) == 8 and "1900" <= d[:4] <= _THIS_YEAR and "01" <= d[4:6] <= "12" and "01" <= d[6:] <= "31"
+
 
+def _digit_runs(v: str) -> Iterator[tuple[int, int, int, int]]:
+    """Every run of one to five neighbouring groups of digits, with a plus before it: start, end, number of digits, and whether it is a tile.
 
-def _digit_runs(v: str) -> Iterator[tuple[int, int]]:
-    """Every run of one to five neighbouring groups of digits, with a plus before it."""
+    A group of more than 20 digits is cut into tiles where it is made of numbers written without a gap; of any other such group, the
+    parts that look like identity numbers are given.
+    """
     groups = [(m.start(), m.end()) for m in _GROUP.finditer(v)]
     for k, (start, end) in enumerate(groups):
         if end - start > 20:
+            plain = v[start:end].translate(_DIGITS_ZH)
+            tiled = _TILES.fullmatch(plain)
+            for m in (_TILE if tiled else _INNER_ID).finditer(plain):
+                x, y = m.span(1)
+                yield start + x, start + y, y - x, 1 + bool(tiled)
             continue
-        if v[start - 1 : start] == "+" and start:
+        if start and v[start - 1] == "+":
             start -= 1
         total = 0
         for j in range(k, min(k + 5, len(groups))):
-            if j > k and not _JOINT.fullmatch(v[groups[j - 1][1] : groups[j][0]]):
+            if j > k and not _JOINT.fullmatch(v, groups[j - 1][1], groups[j][0]):
                 break
             total += groups[j][1] - groups[j][0]
             if total > 20:
                 break
             if total >= 7:
-                yield start, groups[j][1]
+                yield start, groups[j][1], total, 0
+
+
+@lru_cache(maxsize=1 << 16)
+def _number_left(left: str) -> tuple[list[int], int, int]:
+    """Of up to 26 characters before a number: the cues, the edge, and the number of digits that go on beyond a joint."""
+    near = left[-12:]
+    m = _JOINED_LEFT.search(left) if left[-1:] in _JOINTS else None
+    return [int(bool(c.search(near))) for c in (_PHONE_CUE, _ID_CUE, _ORDER_CUE)], _edge(left[-1:]), min(len(_DIGIT.findall(m.group())), 19) if m else 0
+
+
+@lru_cache(maxsize=1 << 16)
+def _number_right(right: str) -> tuple[int, int]:
+    m = _JOINED_RIGHT.search(right) if right[:1] in _JOINTS else None
+    return _edge(right[:1]), min(len(_DIGIT.findall(m.group())), 19) if m else 0
 
 
 def _numbers(v: str) -> Iterator[Span]:
-    for start, end in _digit_runs(v):
+    for start, end, total, tile in _digit_runs(v):
         raw = v[start:end]
-        digits = re.sub(r"[^0-9xX]", "", raw.translate(_DIGITS_ZH))
+        digits = raw if raw.isascii() and raw.isdigit() else _NOT_DIGIT.sub("", raw.translate(_DIGITS_ZH))
         intl = raw.startswith(("+", "00"))
         core = digits
         for prefix in ("0086", "86"):
             if core.startswith(prefix) and len(core) - len(prefix) in (10, 11) and (intl or core[len(prefix)] == "1"):
                 core = core[len(prefix) :]
                 break
-        left, right = v[max(0, start - 12) : start], v[end : end + 4]
-        zh = sum(c in "零〇一二三四五六七八九幺" for c in raw)
-        seps = len(re.findall(r"[^0-9xX零〇一二三四五六七八九幺]", raw))
-        cues = [int(bool(c.search(left))) for c in (_PHONE_CUE, _ID_CUE, _ORDER_CUE)]
-        edges = [_edge(left[-1:]), _edge(right[:1])]
-        # number of digits that go on beyond a joint
-        joined = [min(len(re.findall(rf"[{_D}xX]", m.group())), 19) if (m := p.search(x)) else 0 for p, x in ((_JOINED_LEFT, v[max(0, start - 26) : start]), (_JOINED_RIGHT, v[end : end + 26]))]
-        groups = [len(x) for x in re.findall(rf"[{_D}xX]+", raw)]
-        mobile = int(bool(re.fullmatch(r"1[3-9]\d{9}", core)))
-        land = int(bool(re.fullmatch(r"0(?:10|2\d|[3-9]\d{2})[2-8]\d{6,7}", core)))
-        service = int(bool(re.fullmatch(r"[48]00\d{7}", core)))
-        dated = int(bool(re.match(r"(?:19|20)\d\d[- ./]\d{1,2}[- ./]\d{1,2}", raw)) and len(core) <= 8)
-        decimal = int("." in raw and seps == 1)
-        if 7 <= len(core) <= 13 and core.isdigit():
-            yield Span("phone", start, end, [len(core), mobile, land, service, int(intl), min(seps, 6), min(zh, 12), *cues, *edges, *joined, dated, decimal, int(core[0]), max(groups), min(len(groups), 5)])
-        if 15 <= len(core) <= 18:
+        phone, identity = 7 <= len(core) <= 13 and core.isdigit(), 15 <= len(core) <= 18
+        if not phone and not identity:
+            continue
+        cues, edge, joined = _number_left(v[max(0, start - 26) : start])
+        edge_right, joined_right = _number_right(v[end : end + 26])
+        around = [*cues, edge, edge_right, joined, joined_right]
+        zh = 0 if raw.isascii() else total - len(_ASCII_DIGIT.findall(raw))
+        seps = len(raw) - total
+        if phone:
+            groups = [len(x) for x in _DIGITS.findall(raw)]
+            mobile = int(bool(_MOBILE.fullmatch(core)))
+            land = int(bool(_LANDLINE.fullmatch(core)))
+            service = int(bool(_SERVICE.fullmatch(core)))
+            dated = int(len(core) <= 8 and bool(_DATED.match(raw)))
+            decimal = int("." in raw and seps == 1)
+            yield Span("phone", start, end, [len(core), mobile, land, service, int(intl), min(seps, 6), min(zh, 12), *around, dated, decimal, int(core[0]), max(groups), min(len(groups), 5), tile])
+        if identity:
             region = int(core[:2].isdigit() and 11 <= int(core[:2]) <= 82)
-            yield Span("id_number", start, end, [len(core), region, int(_date(core[6:14])), int(_check_digit(core)), int(core[-1] in "xX"), min(seps, 6), min(zh, 18), *cues, *edges, *joined, int(core[0]) if core[0].isdigit() else 0, int(_date("19" + core[6:12]))])
+            yield Span("id_number", start, end, [len(core), region, int(_date(core[6:14])), int(_check_digit(core)), int(core[-1] in "xX"), min(seps, 6), min(zh, 18), *around, int(core[0]) if core[0].isdigit() else 0, int(_date("19" + core[6:12])), tile])
 
 
 def _emails(v: str) -> Iterator[Span]:
@@ -182,7 +245,9 @@ def _emails(v: str) -> Iterator[Span]:
 
 
 def _addresses(v: str) -> Iterator[Span]:
-    for pattern, english in ((_ADDRESS, 0), (_ADDRESS_EN, 1)):
+    for pattern, english, gate in ((_ADDRESS, 0, _STREET), (_ADDRESS_EN, 1, _STREET_EN)):
+        if not gate.search(v):
+            continue
         for m in pattern.finditer(v):
             raw, start = m.group(), m.start()
             left = v[max(0, start - 6) : start]
@@ -198,7 +263,11 @@ def _addresses(v: str) -> Iterator[Span]:
 
 
 def _before(v: str, start: int) -> int:
-    left = v[max(0, start - 10) : start]
+    return _stands_before(v[max(0, start - 10) : start])
+
+
+@lru_cache(maxsize=1 << 16)
+def _stands_before(left: str) -> int:
     shown = left.rstrip(" :,。!?;/、(\"'“”—-[")
     low = shown.lower()
     if low.endswith(_NAME_LABEL):
@@ -218,14 +287,20 @@ def _before(v: str, start: int) -> int:
 
 def _after(v: str, end: int) -> int:
     right = v[end : end + 4]
+    return _stands_after(right if not right[:1].isspace() else " " + v[end:].lstrip()[:1])
+
+
+@lru_cache(maxsize=1 << 16)
+def _stands_after(right: str) -> int:
+    """By up to four characters, or a blank and the first character that isn't one."""
     if not right:
         return 1
     if right.startswith(_TITLE):
         return 8
     if right[0] in "(（/":
         return 2
-    if right[0].isspace():
-        rest = v[end:].lstrip()[:1]
+    if right[0] == " ":
+        rest = right[1:]
         return 3 if rest.isdigit() or rest in ("电", "手", "地") or _edge(rest) == 4 else 4
     if right[0].isdigit():
         return 3
@@ -238,40 +313,61 @@ def _after(v: str, end: int) -> int:
 
 def _names(v: str) -> Iterator[Span]:
     n = len(v)
-    for s in range(n):
-        if v[s] not in _SURNAME:
-            continue
-        first = 2 if v[s : s + 2] in COMPOUND else 1
+    for m in _FAMILY.finditer(v):
+        s, first = m.start(), len(m.group(1))
         gap = 1 if v[s + first : s + first + 1] in (" ", "·") else 0
+        at = s + first + gap
+        if not _han(v[at : at + 1]):
+            continue
+        before = _before(v, s)
+        kept = None
+        later = _after(v, at + 1)
         for given in (1, 2):
-            e = s + first + gap + given
-            name = v[s + first + gap : e]
-            if e > n or not all(map(_han, name)):
+            e = at + given
+            if e > n or not _han(v[e - 1]):
                 break
-            before, after = _before(v, s), _after(v, e)
+            after, longer = later, 0
+            if e < n and _han(v[e]):
+                longer = later = _after(v, e + 1)
             if before in (7, 8, 9) and after == 7:
                 continue
-            longer = _after(v, e + 1) if e + 1 <= n and _han(v[e : e + 1]) else 0
-            odd = sum(c in NOT_GIVEN for c in name)
-            next_odd = int(v[e : e + 1] in NOT_GIVEN) if v[e : e + 1] else 2
-            f = [given, first, gap, before, after, longer, odd, next_odd, min(SURNAMES.find(v[s]), 239) // 20 if first == 1 else 12, int(v[s - 1 : s] in NOT_GIVEN) if s else 2, _before(v, s - 1) if s and v[s - 1] in _SURNAME else 0]
+            if kept is None:
+                kept = [_RANK[v[s]] if first == 1 else 12, int(v[s - 1] in NOT_GIVEN) if s else 2, _before(v, s - 1) if s and v[s - 1] in _SURNAME else 0]
+            odd = (v[at] in NOT_GIVEN) + (given == 2 and v[at + 1] in NOT_GIVEN)
+            next_odd = int(v[e] in NOT_GIVEN) if e < n else 2
+            yield Span("name", s, e, [given, first, gap, before, after, longer, odd, next_odd, *kept])
+    for m in _LABELLED.finditer(v):  # family names that aren't listed, where a label says that a name follows
+        s = m.end()
+        for size in (2, 3):
+            e, name = s + size, v[s : s + size]
+            if e > n or name[0] in _SURNAME or not all(map(_han, name)) or any(c in NOT_GIVEN for c in name):
+                break
+            after = _after(v, e)
+            if after != 7:
+                longer = _after(v, e + 1) if e < n and _han(v[e]) else 0
+                yield Span("name", s, e, [size - 1, 4, 0, 1, after, longer, 0, int(v[e] in NOT_GIVEN) if e < n else 2, 14, 0, 0])
+    for pattern, case in ((_NAME_EN, 3), (_NAME_ANY_CASE, 5)):
+        for m in pattern.finditer(v):
+            s, e = m.span(1)
+            name = v[s:e]
+            words = name.replace("·", " ").split()
+            if case == 5 and (all(w.istitle() for w in words) or not _NAME_END.match(v, e)):
+                continue
+            known = sum(w.lower() in _NOT_NAME_EN for w in words)
+            following = _LATIN_WORD.match(v, e).group(1) or ""
+            street = int(following.lower() in _NOT_NAME_EN and following[:1].isupper())
+            number = int(bool(_HOUSE_BEFORE.search(v[max(0, s - 6) : s])))
+            code = int(bool(_CODE_AFTER.match(v, e)))
+            f = [3 + known, case + int(case == 5 and name.islower()), street, _before(v, s), _after(v, e), number, code, 3, 13, 0, 0]
             yield Span("name", s, e, f)
-    for m in _NAME_EN.finditer(v):
-        words = m.group().replace("·", " ").split()
-        known = sum(w.lower() in _NOT_NAME_EN for w in words)
-        following = re.match(r" ?([A-Za-z]+)?", v[m.end() :]).group(1) or ""
-        street = int(following.lower() in _NOT_NAME_EN and following[:1].isupper())
-        number = int(bool(re.search(r"\d+\w?\s*$", v[max(0, m.start() - 6) : m.start()])))
-        code = int(bool(re.match(r" [A-Z]{1,3}\d", v[m.end() :])))
-        f = [3 + known, 3, street, _before(v, m.start()), _after(v, m.end()), number, code, 3, 13, 0, 0]
-        yield Span("name", m.start(), m.end(), f)
 
 
 def candidates(view: str) -> list[Span]:
     out: list[Span] = []
-    if re.search(rf"[{_D}]{_SEP}?[{_D}]", view):
+    digit = _ANY_DIGIT.search(view)
+    if digit and _TWO_DIGITS.search(view):
         out += _numbers(view)
-    if "号" in view or re.search(rf"[{_D}]", view):
+    if digit or "号" in view:
         out += _addresses(view)
     if "@" in view or "at" in view.lower() or "艾特" in view:
         out += _emails(view)
@@ -313,7 +409,12 @@ class _Maker:
         r = self.r
         if kind == "name":
             if r.random() < 0.12:
-                return f"{r.choice(_EN_FIRST)} {r.choice(_EN_LAST)}"
+                name = f"{r.choice(_EN_FIRST)} {r.choice(_EN_LAST)}"
+                return r.choice([name] * 6 + [name.upper(), name.lower()])
+            if r.random() < 0.05:  # a family name that isn't listed
+                while (family := chr(r.randrange(0x4E00, 0x9FA6))) in _SURNAME or family in NOT_GIVEN:
+                    pass
+                return family + "".join(r.choice(_GIVEN) for _ in range(r.choice((1, 2, 2))))
             family = r.choice(COMPOUND) if r.random() < 0.03 else r.choice(SURNAMES[: 60 if r.random() < 0.4 else 230])
             return family + r.choice(["", "", "", "", "", "", "", " "]) + "".join(r.choice(_GIVEN) for _ in range(r.choice((1, 2, 2))))
         if kind == "phone":
@@ -323,7 +424,7 @@ class _Maker:
                 d = r.choice([d, d, d, f"{d[:3]}-{d[3:7]}-{d[7:]}", f"{d[:3]} {d[3:7]} {d[7:]}", f"{d[:3]}.{d[3:7]}.{d[7:]}", f"+86 {d}", f"+86{d}", f"0086-{d}", f"86-{d}", f"(+86){d}", self.wide(d), self.spoken(d)])
                 return d
             area = r.choice(["010", "021", "024", "0411", "0431", "0755", "028"])
-            return area + r.choice(["-", " ", "", "—"]) + r.choice("2345678") + self.digits(7)
+            return area + r.choice(["-", " ", "", "—"]) + self.digits(8)
         if kind == "id_number":
             d = r.choice(["110105", "310104", "440305", "210203", "510107", "220104", "330106"]) + str(r.randint(1940, 2012)) + f"{r.randint(1, 12):02d}{r.randint(1, 28):02d}" + self.digits(3)
             d += "10X98765432"[sum(int(c) * pow(2, 17 - k, 11) for k, c in enumerate(d)) % 11] if r.random() < 0.5 else r.choice("0123456789X")
@@ -494,7 +595,58 @@ Is the {brand} good for the kitchen
 {thing}{fault}，急。——{phone}
 My name is {name}, email {email} or call {phone} about the boiler
 根据{address}的隐蔽工程记录，建议{act}
-{address}的节点照片已收到""".split("\n")
+{address}的节点照片已收到
+身份证{id_number}{phone}
+身份证号{id_number}{phone}，{name}
+电话{phone}{phone}
+电话{phone} {phone}
+电话{phone} {phone}，{thing}{fault}
+{phone} {phone}
+手机{phone}，座机{phone}
+请打{phone}或{phone}，{when}都在
+{phone}/{phone}
+联系{phone}、{phone}
+{name} {phone} {phone}
+物流码{order}{order}查不到
+流水{order}{order}
+条码 {order}{order} 扫不出
+{order} {order}
+订单{order} {order}
+姓名：{name}，{thing}{fault}
+联系人{name}，{thing}{fault}
+业主{name}，{address}
+经办人：{name}
+申请人 {name} {phone}
+业主为{name}，{when}验收
+name: {name}, tiles arrived broken
+Hi, this is {name}, the {brand} leaks
+i am {name}, please call {phone}
+my name is {name} and the boiler is loud
+业主反映{thing}{fault}
+业主要求{act}
+业主投诉{thing}{fault}，{role}没来
+业主同意，{act}
+业主认可，可以签字
+业主自购，{thing}自己运
+业主嫌贵，不要{thing}了
+业主着急，{when}能来吗
+业主不满意{thing}
+业主群里有人说{thing}{fault}
+业主委托{role}验收
+业主本人，{when}到场
+联系人写错了，能改吗
+联系人空缺，怎么填
+收件人拒收，{thing}退回
+收件人地址改一下
+姓名保密，别登记
+姓名拼音写错，{paper}要重开吗
+付款人账户不对
+申请人签字，{role}盖章
+户主变更，{paper}要换吗
+I am happy with the {brand}
+this is urgent, {thing}{fault}
+ask for refund, please
+i am waiting, call me""".split("\n")
 
 
 def _labelled(examples: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -579,16 +731,20 @@ def redacted(df: DataFrame, key_col: str = "log_id", fields: tuple[str, ...] = (
     fitted = models(examples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, list[str]]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 b = whole.slice(at, 4000)
                 arrays, names = [b.column(0)], [key_col]
-                for k, f in enumerate(fields):
-                    texts = b.column(k + 1).to_pylist()
-                    different = list({t for t in texts if t})
-                    found = dict(zip(different, find(different, fitted), strict=True))
-                    arrays.append(pa.array([redact(t, found.get(t, [])) for t in texts], pa.string()))
-                    arrays.append(pa.array([sorted({s.kind for s in found.get(t, [])}) if t is not None else None for t in texts], pa.list_(pa.string())))
+                columns = [b.column(k + 1).to_pylist() for k in range(len(fields))]
+                if len(known) > KNOWN:
+                    known.clear()
+                new = list({t for texts in columns for t in texts if t and t not in known})
+                for t, spans in zip(new, find(new, fitted), strict=True):
+                    known[t] = redact(t, spans), sorted({s.kind for s in spans})
+                for f, texts in zip(fields, columns, strict=True):
+                    arrays.append(pa.array([known[t][0] if t else t for t in texts], pa.string()))
+                    arrays.append(pa.array([known[t][1] if t else None if t is None else [] for t in texts], pa.list_(pa.string())))
                     names += [f, f"{f}_kinds"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -207,6 +207,42 @@ def test_addresses_with_single_digits_are_candidates(text, address):
     assert any(x.kind == "address" and address in text[x.start : x.end] for x in pii.candidates(text))
 
 
+# Texts that the templates of the training don't make.
+HELD_OUT = [
+    ("业主诸葛亮反映漏水", "业主[NAME]反映漏水"),
+    ("业主慕容建国", "业主[NAME]"),
+    ("业主：上官婉清，厨房返水", "业主：[NAME]，厨房返水"),
+    ("联系人蔺志强，电话13912345678", "联系人[NAME]，电话[PHONE]"),
+    ("姓名：桓子轩 身份证110105194912310021", "姓名：[NAME] 身份证[ID_NUMBER]"),
+    ("收货人 展云飞 13700001111", "收货人 [NAME] [PHONE]"),
+    ("身份证11010519491231002113800138000", "身份证[ID_NUMBER][PHONE]"),
+    ("电话138 0013 8000 139 0013 9000", "电话[PHONE] [PHONE]"),
+    ("电话13800138000 13900139000都行", "电话[PHONE] [PHONE]都行"),
+    ("打1380013800013900139000", "打[PHONE][PHONE]"),
+    ("My name is john smith, the tap drips", "My name is [NAME], the tap drips"),
+    ("Name: MARY JONES", "Name: [NAME]"),
+    ("I am happy to wait", "I am happy to wait"),
+    ("业主反映客厅的插座没电", "业主反映客厅的插座没电"),
+    ("业主同意延期，下周再来", "业主同意延期，下周再来"),
+    ("快递单号7733445566778899001122查不到", "快递单号7733445566778899001122查不到"),
+    ("合同编号202605120034，尾款没付", "合同编号202605120034，尾款没付"),
+    ("PVC PIPE 20mm多少钱", "PVC PIPE 20mm多少钱"),
+    ("麻烦发到 zhang.wei@example.com 谢谢", "麻烦发到 [EMAIL] 谢谢"),
+    ("我住在人民路128号3单元502室，窗户漏风", "我住在[ADDRESS]，窗户漏风"),
+    ("I live at 22 Baker Street, near the park", "I live at [ADDRESS], near the park"),
+    ("找欧阳娜签字，别找端木", "找[NAME]签字，别找端木"),
+    ("南宫雪家的门关不上", "[NAME]家的门关不上"),
+    ("手机一三八零零一三八零零零打不通", "手机[PHONE]打不通"),
+    ("Ship it to 5 Maple Road, thanks", "Ship it to [ADDRESS], thanks"),
+    ("业主觉得瓷砖颜色不对", "业主觉得瓷砖颜色不对"),
+]
+
+
+@pytest.mark.parametrize("text, redacted", HELD_OUT)
+def test_held_out_texts_are_redacted(text, redacted):
+    assert pii.redact(text, pii.find([text], pii.models())[0]) == redacted
+
+
 def test_boosting_learns_a_rule():
     r = np.random.default_rng(1)
     x = r.integers(0, 10, (2000, 4))
