@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.normalise import canonical
+from plumbline.session import drop, materialise
 
 DIM = 1 << 18
 ORDERS = (1, 2, 3, 4)
@@ -98,10 +99,11 @@ the caulk gun is next to the cock valve
 screw the panel tight""".split("\n")
 # Traditional characters and their simplified forms, where abuse uses them; digits and signs for letters.
 _TRADITIONAL = str.maketrans("廢貨賤豬腦殘媽滾殺幹雞婊騙體裸愛視頻騷約聊淫亂蕩壞髒蠢東廣農殘黃個這種們來從給說話錢門開關還過進為與無對", "废货贱猪脑残妈滚杀干鸡婊骗体裸爱视频骚约聊淫乱荡坏脏蠢东广农残黄个这种们来从给说话钱门开关还过进为与无对")
+_HAS_TRADITIONAL = re.compile(f"[{''.join(map(chr, _TRADITIONAL))}]")
 _LEET = str.maketrans("013457@$", "oleastas")
 
 _SENTENCE_END = re.compile(r"[。!?;\n；！？]+|\.(?=\s|$)")
-_NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD = re.compile(r"[^\w\n]*(?:_+[^\w\n]*)+|[^\w\n]+")
 _BY_HAN = re.compile(r"(?<=[぀-ヿ㐀-鿿]) | (?=[぀-ヿ㐀-鿿])")
 _SPELT = re.compile(r"\b[a-z](?: [a-z]){2,}\b")
 _MIXED = re.compile(r"[a-z@$]+[0134578@$][a-z@$0-9]*")
@@ -112,39 +114,40 @@ def sentences(text: str | None) -> list[str]:
     """The evened-out sentences of a text."""
     if not text:
         return []
-    t = canonical(text).lower().translate(_TRADITIONAL)
-    out = []
-    for s in _SENTENCE_END.split(t):
-        s = _MIXED.sub(lambda m: m.group().translate(_LEET), _MASKED.sub("", s))
-        s = _BY_HAN.sub("", _NOT_WORD.sub(" ", s).strip())
-        s = _SPELT.sub(lambda m: m.group().replace(" ", ""), s)
-        if s:
-            out.append(s)
-    return out
+    t = canonical(text).lower()
+    if _HAS_TRADITIONAL.search(t):
+        t = t.translate(_TRADITIONAL)
+    t = _SENTENCE_END.sub("\n", t)
+    if "*" in t or "#" in t:
+        t = _MASKED.sub("", t)
+    t = _MIXED.sub(lambda m: m.group().translate(_LEET), t)
+    t = _BY_HAN.sub("", _NOT_WORD.sub(" ", t))
+    t = _SPELT.sub(lambda m: m.group().replace(" ", ""), t)
+    return [s for s in map(str.strip, t.split("\n")) if s]
 
 
 def _features(sents: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the sentences (each with a blank at both ends), and the number of n-grams of each."""
+    """Buckets of all n-grams of the sentences (each with a blank at both ends), sentence by sentence, and the number of n-grams of each."""
     texts = [f" {s} " for s in sents]
-    n = np.array([len(t) for t in texts], np.int64)
+    length = np.array([len(t) for t in texts], np.int64)
     c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    doc = np.repeat(np.arange(len(texts)), n)
-    parts, owners = [], []
-    for k in ORDERS:
-        size = len(c) - k + 1
-        if size <= 0:
-            continue
-        h = np.full(size, 1469598103934665603 + k, np.uint64)
+    begin = np.cumsum(length) - length
+    each = [np.maximum(length - k + 1, 0) for k in ORDERS]
+    n = np.sum(each, axis=0)
+    out = np.empty(n.sum(), np.intp)
+    place = np.cumsum(n) - n  # where the next order's n-grams of each sentence go
+    for k, count in zip(ORDERS, each, strict=True):
+        before = np.cumsum(count) - count
+        at = np.arange(count.sum())
+        source = at + np.repeat(begin - before, count)
+        h = np.full(len(at), 1469598103934665603 + k, np.uint64)
         with np.errstate(over="ignore"):
             for j in range(k):
-                h = (h ^ c[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ c[source + j]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-        inside = doc[:size] == doc[k - 1 :]
-        parts.append(((h[inside] >> np.uint64(20)) % np.uint64(DIM)).astype(np.int32))
-        owners.append(doc[:size][inside])
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(parts)[order], np.bincount(owner, minlength=len(texts))
+        out[at + np.repeat(place - before, count)] = (h >> np.uint64(20)) & np.uint64(DIM - 1)
+        place = place + count
+    return out, n
 
 
 @dataclass
@@ -163,11 +166,15 @@ class Model:
         """The probability of the worst sentence; 0 for a text without any."""
         each = [sentences(t) for t in texts]
         out = np.full(len(texts), -np.inf)
-        z = self.logits([s for ss in each for s in ss])
-        np.maximum.at(out, np.repeat(np.arange(len(texts)), [len(s) for s in each]), z)
+        index = {s: k for k, s in enumerate(dict.fromkeys(s for ss in each for s in ss))}  # equal sentences are weighed once
+        z = self.logits(list(index))
+        np.maximum.at(out, np.repeat(np.arange(len(texts)), [len(s) for s in each]), z[[index[s] for ss in each for s in ss]] if index else z)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30))) * np.isfinite(out)
 
 
+_GROUP = re.compile("|".join(map(re.escape, sorted(GROUPS_ZH + GROUPS_EN, key=len, reverse=True))))
+
+
 def swaps(sentence: str, rng: np.random.Generator, copies: int = 2) -> list[str]:
     """The sentence with the groups that it mentions swapped for others of the same language."""
     out = []
@@ -182,7 +189,6 @@ def swaps(sentence: str, rng: np.random.Generator, copies: int = 2) -> list[str]
 def _fit_logistic(sents: list[str], y: np.ndarray, weight: np.ndarray, pairs: list[tuple[str, str]], epochs: int = 40, l2: float = 1e-5, fairness: float = 0.5) -> tuple[np.ndarray, float]:
     """Adam on the weighted log loss plus ``fairness`` times the squared difference of the scores of each swapped pair."""
     f, n = _features(sents)
-    f, owner = f.astype(np.intp), np.repeat(np.arange(len(n)), n)
     starts = np.r_[0, np.cumsum(n)[:-1]]
     w, b = np.zeros(DIM), -3.0
     m, v, mb, vb = np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
@@ -192,11 +198,12 @@ def _fit_logistic(sents: list[str], y: np.ndarray, weight: np.ndarray, pairs: li
         fq, nq = _features([c for _, c in pairs])
         sp, sq = np.r_[0, np.cumsum(np_)[:-1]], np.r_[0, np.cumsum(nq)[:-1]]
     for step in range(1, epochs + 1):
-        z = np.add.reduceat(w[f], starts) + b
+        light = w.astype(np.float32)  # half the memory to gather from
+        z = np.add.reduceat(light[f], starts) + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        grad = np.bincount(f, g[owner], minlength=DIM) + l2 * w
+        grad = np.bincount(f, np.repeat(g, n), minlength=DIM) + l2 * w
         if pairs:
-            d = fairness * (np.add.reduceat(w[fp], sp) - np.add.reduceat(w[fq], sq)) / len(pairs)
+            d = fairness * (np.add.reduceat(light[fp], sp) - np.add.reduceat(light[fq], sq)) / len(pairs)
             grad += np.bincount(fp, np.repeat(d, np_), minlength=DIM) - np.bincount(fq, np.repeat(d, nq), minlength=DIM)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
@@ -222,8 +229,8 @@ def _first_guess(docs: list[list[str]], bad: np.ndarray) -> np.ndarray:
     return np.add.reduceat(telling[f].astype(float), np.r_[0, np.cumsum(n)[:-1]]) / n
 
 
-def fit(texts: list[str], bad: list[bool], seed: int = 9, rounds: int = 2, most_negative: int = 40_000) -> Model:
-    """Fits the classifier on labelled documents; ``most_negative`` sentences of clean ones at most, the hardest and others by chance. The threshold has the best F1 on a quarter of the documents that a first fit leaves out."""
+def fit(texts: list[str], bad: list[bool], seed: int = 9, rounds: int = 2, most_negative: int = 40_000, most_mentions: int = 4_000) -> Model:
+    """Fits the classifier on labelled documents; ``most_negative`` sentences of clean ones at most, the hardest and others by chance; ``most_mentions`` sentences of all that mention a group, by chance, are swapped. The threshold has the best F1 on a quarter of the documents that a first fit leaves out."""
     rng = np.random.default_rng(seed)
     votes: dict[tuple[str, ...], int] = {}
     for t, b in zip(texts, bad, strict=True):  # copies of a text are one document
@@ -262,7 +269,10 @@ def fit(texts: list[str], bad: list[bool], seed: int = 9, rounds: int = 2, most_
             heavy = max(1.0, 0.15 * (target == 0).sum() / max(1, (target == 1).sum()))
             weight = np.where(target == 1, heavy, 1.0)
             weight[len(train_s) - len(start_clean) :] = 3.0
-            pairs = [(s, x) for s in train_s if len(s) < 200 for x in swaps(s, rng)][:20_000]
+            mention = [s for s in train_s if _GROUP.search(s)]
+            if len(mention) > most_mentions:
+                mention = [mention[k] for k in np.sort(rng.choice(len(mention), most_mentions, replace=False))]
+            pairs = [(s, x) for s in mention for x in swaps(s, rng)]
             w, b = _fit_logistic(train_s, target, weight, pairs)
             model = Model(w, b, 0.5)
             if flat and r < rounds:
@@ -285,18 +295,40 @@ def fit(texts: list[str], bad: list[bool], seed: int = 9, rounds: int = 2, most_
     return Model(w, b, threshold)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> tuple[list[str], list[bool]]:
-    """Texts and whether most of their labels aren't ``clean`` (ties are left out), of ``most_labelled`` labelled documents at most, chosen by hash."""
+def labelled(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> DataFrame:
+    """``doc_id, text, bad``: whether most of its labels aren't ``clean`` (ties are left out), of ``most_labelled`` labelled documents at most, chosen by hash."""
     votes = labels.where("doc_id is not null and label is not null").select("doc_id", "label", "reviewer", "labelled_at").distinct()
     votes = votes.groupBy("doc_id").agg(F.sum(F.when(F.col("label") == "clean", -1).otherwise(1)).alias("vote")).where("vote <> 0")
     some = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [r.text for r in rows], [r.vote > 0 for r in rows]
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first(F.col("vote") > 0).alias("bad"))
+
+
+_fitted: dict[tuple, Model] = {}
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Model:
+    """The classifier of a set of labelled documents. It is fitted in one task, so that no text comes to the driver, and kept by the documents' checksum for the queries that follow."""
+    some = materialise(labelled(docs, labels, most_labelled), "labelled")
+    key = tuple(some.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "text", "bad").cast("decimal(38,0)"))).first())
+    if key in _fitted:
+        return _fitted[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["text"], r["bad"]) for b in batches for r in b.to_pylist())
+        m = fit([t for _, t, _ in rows], [b for _, _, b in rows])
+        yield pa.RecordBatch.from_pydict({"weights": [m.weights.tobytes()], "bias": [m.bias], "threshold": [m.threshold]})
+
+    row = some.repartition(1).mapInArrow(run, "weights binary, bias double, threshold double").first() if key[0] else None
+    drop(some)
+    if len(_fitted) >= 4:
+        _fitted.clear()
+    _fitted[key] = Model(np.frombuffer(row.weights, np.float32), row.bias, row.threshold) if row else fit([], [])
+    return _fitted[key]
 
 
 def score(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> DataFrame:
     """``doc_id, source, score, flagged`` of each document. Null and empty texts score 0; repeated rows count once; without labels, only the listed sentences are learnt."""
-    model = fit(*labelled(docs, labels, most_labelled))
+    model = fitted(docs, labels, most_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -351,6 +351,21 @@ def test_classifier_held_out_and_fair():
     assert s[0] == s[1] == 0 and (s[2:4] >= m.threshold).all() and s[4] < m.threshold
 
 
+def test_mentions_to_swap_are_chosen_by_chance(monkeypatch):
+    said = []
+
+    def note(sents, y, weight, pairs, **k):
+        said.append([a for a, _ in pairs])
+        return np.zeros(toxicity.DIM, np.float32), 0.0
+
+    monkeypatch.setattr(toxicity, "_fit_logistic", note)
+    texts = [f"{c}区的女司机也来看了{'木地板' * (80 if c == 'z' else 1)}" for c in string.ascii_lowercase for _ in range(2)]
+    toxicity.fit(texts, [False] * len(texts), most_mentions=1000)
+    assert {s[0] for s in said[-1]} >= set(string.ascii_lowercase)  # the long one too
+    toxicity.fit(texts, [False] * len(texts), most_mentions=12)
+    assert len(set(said[-1])) == 12 and max(s[0] for s in said[-1] if s[0].isascii()) > "m"
+
+
 def test_score_tables(spark):
     texts, labels = _labelled_texts(150, 3)
     docs = spark.createDataFrame([(k, t, "s", "clash") for k, t in enumerate(texts)] + [(900, None, None, ""), (901, "", "s", "")], "doc_id bigint, text string, source string, label string")
