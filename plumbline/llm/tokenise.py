@@ -16,13 +16,14 @@ import base64
 import json
 import os
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDER = "/opt/tokenizers"
@@ -110,6 +111,8 @@ class TrieEncoder:
         if len(self.words) + len(new) > self.keep:
             kept = set(words)
             self.words = {w: v for w, v in self.words.items() if w in kept}
+        if len(self.compatible) > 8 * self.keep:  # pairs are worked out again when they come again
+            self.compatible.clear()
         vocab, sizes, compatible, split = self.vocab, self.sizes, self.compatible, self.split
         last: list[int] = [-1]  # by depth: the last token of the path to there
         back: list[int] = [0]  # by depth: where that token begins
@@ -178,7 +181,7 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-def _pieces(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
+def pieces(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
     """Runs of texts of about ``most`` characters, so that a batch of long texts needs no more memory."""
     run: list[str | None] = []
     size = 0
@@ -192,15 +195,27 @@ def _pieces(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str
         yield run
 
 
+def shared_path(spark: SparkSession, folder: str, vocabulary: str) -> Callable[[], str]:
+    """Where a worker finds the vocabulary: in ``folder``, or where that isn't on its machine, in the files that Spark sends from the driver's."""
+    path = os.path.join(folder, vocabulary)
+    if not spark.sparkContext.master.startswith("local") and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+
+    def find() -> str:
+        return path if os.path.exists(path) else SparkFiles.get(vocabulary)
+
+    return find
+
+
 def token_ids(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
     """``<key_col>, ids``: the token ids of each row's text, without special tokens. Rows are kept as they are, repeated ones too; null and empty texts have an empty list."""
-    path = os.path.join(folder, vocabulary)
+    path = shared_path(df.sparkSession, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path())
         for b in batches:
             done = 0
-            for texts in _pieces(b.column(1).to_pylist()):
+            for texts in pieces(b.column(1).to_pylist()):
                 ids = e.encode(texts)
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -213,18 +228,3 @@ def token_ids(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", vo
 
     kind = df.schema[key_col].dataType.simpleString()
     return df.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, f"`{key_col}` {kind}, ids array<int>")
-
-
-def token_counts(df: DataFrame, text_col: str = "text", name: str = "tokens", vocabulary: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
-    """``df`` with the number of tokens of each text (0 for null and empty ones) in the new column ``name``."""
-    path = os.path.join(folder, vocabulary)
-
-    @F.pandas_udf("long")
-    def count(s):
-        import pandas as pd
-
-        e = encoder(path)
-        texts = [None if x is None or x != x else x for x in s]
-        return pd.Series([len(x) for part in _pieces(texts) for x in e.encode(part)], dtype="int64")
-
-    return df.withColumn(name, count(F.col(f"`{text_col}`").cast("string")))

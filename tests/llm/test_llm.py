@@ -299,10 +299,54 @@ def test_ids_equal_the_library(spark, sf):
 
 
 def test_min_cost_flow_prefers_fresh_texts():
-    total, taken = mixing.plan({(1, "a"): 100, (2, "b"): 50, (3, "a"): 40, (3, "b"): 40}, {1: 100, 2: 50, 3: 40}, {"a": mixing.Quota(0.5, 1), "b": mixing.Quota(0.5, 3)}, 200)
+    total, taken = mixing.plan({("1", "a"): 100, ("2", "b"): 50, ("3", "a"): 40, ("3", "b"): 40}, {"1": 100, "2": 50, "3": 40}, {"a": mixing.Quota(0.5, 1), "b": mixing.Quota(0.5, 3)}, 200)
     assert total == 200 and sum(v for (_, s), v in taken.items() if s == "a") == 100 == sum(v for (_, s), v in taken.items() if s == "b")
-    assert taken[3, "b"] == 40 or taken[2, "b"] > 50
-
+    assert taken["3", "b"] == 40 or taken["2", "b"] > 50
+
+
+def test_flow_costs_least():
+    """Against the cheapest of all integer flows of a small graph."""
+    import itertools
+
+    r = random.Random(5)
+    for _ in range(60):
+        edges = [(0, 2, r.randint(0, 3), 0), (0, 2, r.randint(0, 2), 1), (0, 3, r.randint(0, 3), r.randint(0, 4)), (2, 4, r.randint(0, 3), 0), (2, 5, r.randint(0, 3), 0), (3, 4, r.randint(0, 2), 0), (3, 5, r.randint(0, 3), 0), (4, 1, r.randint(0, 4), 0), (5, 1, r.randint(0, 3), 0)]
+        best = (0, 0)
+        for f in itertools.product(*(range(c + 1) for _, _, c, _ in edges)):
+            if all(sum(x for x, e in zip(f, edges, strict=True) if e[1] == v) == sum(x for x, e in zip(f, edges, strict=True) if e[0] == v) for v in (2, 3, 4, 5)):
+                best = min(best, (-f[7] - f[8], sum(x * e[3] for x, e in zip(f, edges, strict=True))))
+        flow = mixing.min_cost_flow(edges, 0, 1)
+        assert (-flow[7] - flow[8], sum(x * e[3] for x, e in zip(flow, edges, strict=True))) == best
+
+
+def test_plan_at_its_bound():
+    import time
+
+    r = random.Random(6)
+    names = [f"s{k:02d}" for k in range(62)]
+    quotas = {s: mixing.Quota(1 / 62, r.randint(1, 5)) for s in names}
+    capacity, supply = {}, {}
+    for p in range(4096):
+        inside = r.sample(names, r.randint(1, 8))
+        for s in inside:
+            capacity[str(p), s] = r.randint(100, 10_000)
+        supply[str(p)] = max(capacity[str(p), s] for s in inside)
+    began = time.process_time()
+    total, taken = mixing.plan(capacity, supply, quotas, None)
+    assert time.process_time() - began < 60
+    got = dict.fromkeys(names, 0)
+    for (p, s), t in taken.items():
+        got[s] += t
+        assert 0 <= t <= capacity[p, s] * quotas[s].repeats
+    assert all(abs(t - total / 62) <= 1 for t in got.values())
+
+
+def test_copies_of_one_text_are_cut_between_records(spark):
+    docs = spark.createDataFrame([(k, "tile wall floor" if k % 3 else f"pipe {k} grout", "ab"[k % 2]) for k in range(3000)], "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
+    m, shares = mixing.mix(docs, weights)
+    assert {x.source: round(x.actual_share, 2) for x in shares.collect()} == {"a": 0.75, "b": 0.25}
+    assert m.count() == m.select("doc_id").distinct().count()
 
 def test_mixture(spark):
     r = random.Random(1)
