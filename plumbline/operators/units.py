@@ -2,7 +2,8 @@
 
 An automaton over all aliases (Aho-Corasick) runs over the unit, label and note of each check; the longest match at a place
 counts, if a number, a blank or a phrase such as "unit:" stands beside it. The topic's quantity, by the majority of its
-checks' units over the whole table, settles which reading holds; conversion factors are joined by broadcast (their number
+checks' units over the whole table, settles which reading holds; where a topic has no majority, a check with one reading
+has that one. Conversion factors are joined by broadcast (their number
 is fixed by the table below).
 """
 
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import materialise
+
 # Quantity; factor to the first unit of the quantity and offset added before; spellings (NFKC, lower case, no blanks).
 UNITS: list[tuple[str, str, str, str]] = [
     ("length", "1", "0", "mm 毫米 公厘 millimetre millimetres millimeter millimeters"),
@@ -195,20 +198,18 @@ def common_limits(rules: DataFrame, families: DataFrame) -> DataFrame:
     """``id, check_no, quantity, common_unit, value_milli, as_common`` of each check that states its number and its unit somewhere.
 
     ``as_common``: the check has its value, and its unit is already spelled as the common one. Rules without checks, checks
-    whose number or unit is lost, and quantities that ``families`` doesn't have, give no row; repeated rows count once.
+    whose number or unit is lost, and quantities that ``families`` doesn't have, give no row; repeated rows count once. A check
+    with readings of several quantities, in a topic of which no quantity has half the units stated, gives no row either.
     ``value_milli`` is rounded half away from zero.
     """
     checks = rules.select("id", "topic", F.posexplode("checks").alias("check_no", "c")).select("id", "check_no", "topic", "c.value", "c.unit", "c.label", "c.note").distinct()
-    read = checks.mapInArrow(_read, "id string, check_no int, topic string, value double, unit string, named string, readings array<struct<quantity:string,unit_no:int,number:double>>")
-    votes = read.where("named is not null").groupBy("topic", "named").agg(F.count(F.lit(1)).alias("n"))
-    topics = votes.groupBy("topic").agg(F.max_by("named", F.struct("n", "named")).alias("expected"))
-    known = checks.groupBy("topic").agg(F.count_if((F.col("unit").isNotNull()) & (F.trim("unit") != "") & (F.col("unit") != "-")).alias("stated"))
-    sure = topics.join(votes.withColumnRenamed("named", "expected"), ["topic", "expected"]).join(known, "topic").where(F.col("n") * 2 >= F.col("stated")).select("topic", "expected")
-    each = read.select("id", "check_no", "topic", "value", "unit", F.size("readings").alias("several"), F.explode("readings").alias("r"))
-    kept = each.join(sure, "topic").where(F.col("r.quantity") == F.col("expected"))
-    alone = each.where("topic is null and several = 1").withColumn("expected", F.col("r.quantity"))
-    cols = ["id", "check_no", "value", "unit", "r"]
-    out = kept.select(*cols).unionByName(alone.select(*cols)).select("id", "check_no", "value", "unit", "r.unit_no", "r.number")
+    read = materialise(checks.mapInArrow(_read, "id string, check_no int, topic string, value double, unit string, named string, readings array<struct<quantity:string,unit_no:int,number:double>>"), "readings")
+    stated = F.count_if((F.col("unit").isNotNull()) & (F.trim("unit") != "") & (F.col("unit") != "-"))
+    votes = read.groupBy("topic", "named").agg(F.count("named").alias("n"), stated.alias("stated"))
+    topics = votes.groupBy("topic").agg(F.max_by("named", F.struct("n", "named")).alias("expected"), F.max("n").alias("n"), F.sum("stated").alias("stated"))
+    sure = topics.where((F.col("n") > 0) & (F.col("n") * 2 >= F.col("stated"))).select("topic", "expected")
+    each = read.select("id", "check_no", "topic", "value", "unit", F.size("readings").alias("several"), F.explode("readings").alias("r")).join(sure, "topic", "left")
+    out = each.where(F.when(F.col("expected").isNull(), F.col("several") == 1).otherwise(F.col("r.quantity") == F.col("expected"))).select("id", "check_no", "value", "unit", "r.unit_no", "r.number")
     out = out.join(F.broadcast(factors(rules.sparkSession, families)), "unit_no")
     milli = F.round((F.col("number") * F.col("factor") + F.col("shift")) * 1000).cast("bigint")
     return out.select("id", "check_no", "quantity", "common_unit", milli.alias("value_milli"), (F.col("value").isNotNull() & (F.col("unit").eqNullSafe(F.col("common_unit")))).alias("as_common")).distinct()

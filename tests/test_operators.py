@@ -61,6 +61,11 @@ def test_units_by_quantity(spark, vote, check, milli):
     assert (r and r.value_milli) == milli
 
 
+def test_topics_without_majority_keep_their_checks(spark):
+    df = rules(spark, [("a", "<", 2.0, "cm", None), ("a", "<", 1.0, "MPa", None), ("a", "<", 2.0, "h", None), ("a", "<", 5.0, "%", None), ("a", "<", 3.0, "m2", None), ("a", "<", None, "cm", None)])
+    assert rows(units.common_limits(df, family(spark)), "id", "value_milli") == [("r0", 20000), ("r1", 1000), ("r2", 2000), ("r3", 5000), ("r4", 3000)]
+
+
 def test_units_odd_tables(spark):
     none = spark.createDataFrame([], f"id string, topic string, checks {CHECK}")
     assert units.common_limits(none, family(spark)).count() == 0
