@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # The words that the maximal-matching tokenizer knows unless others are given.
 DICTIONARY = "吊柜 地漏 瓷砖 石膏线 踢脚线 窗帘盒 暖气片 乳胶漆 木地板 配电箱 弱电箱 花洒 橱柜 马桶 灯带 岩板 铝扣板 空调孔 水槽 门套 推拉门 淋浴房 浴室柜 百叶窗 止逆阀 角阀 检修口 挡水条 榻榻米 楼梯踏步 门槛石 窗台石 集成吊顶 护墙板 玻璃门 开关面板 插座 防水涂料 瓷砖胶 美缝剂 填缝砂 腻子 界面剂 轻钢龙骨 石膏板 闭水 防水 找平 渗水 空鼓 开裂 起皮 返潮 松动 色差 变形 堵塞 异响 漏风 翘边 泛碱 发霉 掉粉 起泡 跳闸 验收 保修 合同 付款 预算 报价 人工费 拆除费 设计费 管理费".split()
 HAN = "一-鿿"
+# Patterns of tokens that begin with a number, and of Latin words and numbers.
 MIXED = f"[0-9]+[.]?[0-9]*[{HAN}A-Za-z]+[0-9{HAN}A-Za-z]*"
 ALNUM = "[a-zA-Z]+|[0-9]+"
 
@@ -33,10 +34,17 @@ def mixed_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({MIXED})"), 1)
 
 
+def every(c: Column, n: int | Column, of: str = ".") -> Column:
+    """All substrings of ``n`` characters, overlapping ones too, by one pass; ``of``: which characters they may hold."""
+    if isinstance(n, int):
+        return F.regexp_extract_all(c, F.lit(f"(?s)(?=({of}{{{n}}}))"), 1)
+    return F.regexp_extract_all(c, F.concat(F.lit(f"(?s)(?=({of}{{"), n.cast("string"), F.lit("}))")), 1)
+
+
 def bigrams(c: Column) -> Column:
     """Pairs of neighbouring Chinese characters, everything else taken out before."""
     han = F.regexp_replace(c, f"[^{HAN}]", "")
-    return F.when(F.length(han) >= 2, F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substring(han, i, F.lit(2)))).otherwise(no_strings())
+    return every(han, 2)
 
 
 def latin(c: Column) -> Column:
@@ -53,9 +61,7 @@ def tokens(c: Column, keywords: Column | None = None, words: list[str] | None =
 
 def windows(c: Column, least: int = 2, most: int = 6) -> Column:
     """Different substrings of ``least`` to ``most`` characters of each Chinese run."""
-    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"([{HAN}]+)"), 1)
-    cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))).otherwise(no_strings())
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.flatten(F.array(*(cut(r, n) for n in range(least, most + 1)))))))
+    return F.array_distinct(F.flatten(F.array(*(every(F.coalesce(c, F.lit("")), n, f"[{HAN}]") for n in range(least, most + 1)))))
 
 
 def tokens_sql(text: str, keywords: str = "[]", words: list[str] | None = None) -> str:

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.tokens import every
+from plumbline.session import materialise
+
 
 def split_segments(df: DataFrame, id_col: str, text_col: str, separator: str = r"(?m)^[ \t]*---[ \t]*$", least: int = 20) -> DataFrame:
     """``id, seg_no, segment, skipped``: the parts between separators, trimmed; empty ones are dropped, those shorter than ``least`` marked as skipped. A null text has no part."""
@@ -57,7 +60,8 @@ def numbered(candidates: DataFrame, existing: DataFrame, key: str, order: Column
     starts where those before it end.
     """
     top = existing.agg(F.coalesce(F.max(F.expr(f"try_cast(nullif(regexp_extract({key}, '^{prefix}([0-9]+)$', 1), '') as bigint)")), F.lit(0)).alias("top"))
-    placed = candidates.withColumn("_o", order).orderBy("_o").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    # written, since two branches read the places, which must not be given twice
+    placed = materialise(candidates.withColumn("_o", order).orderBy("_o").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()), "placed")
     w = Window.partitionBy("_p").orderBy("_k")
     within = placed.withColumn("_n", F.row_number().over(w))
     sizes = within.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
@@ -218,7 +222,7 @@ def checked_rules(df: DataFrame, id_col: str, text: str, rules: DataFrame, units
     words = r.select("rule_id", F.explode("keywords").alias("word")).where("word <> ''").distinct()
     lengths = words.select(F.length("word").alias("n")).distinct()  # as many rows as there are lengths
     t = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(lengths)).where(F.length("text") >= F.col("n"))
-    parts = t.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("word"))
+    parts = t.select("id", F.explode(F.array_distinct(every(F.col("text"), F.col("n")))).alias("word"))
     named = parts.join(words.select("word").distinct(), "word", "left_semi")
     of = lambda some: named.join(words.join(some, "rule_id", "left_semi"), "word").select("id", "rule_id").distinct()
 

@@ -11,7 +11,10 @@ def find_all(text: Column, needle: Column) -> Column:
     """Places (from 1) of all occurrences, overlapping ones too; none for a null or empty needle."""
     n = F.length(needle)
     ok = text.isNotNull() & (n > 0) & (F.length(text) >= n)
-    return F.when(ok, F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n) == needle)).otherwise(F.array().cast("array<int>"))
+    # both as lists of characters, split once, so that the work is linear in the text
+    split = F.array(F.struct(F.split(text, "").alias("t"), F.split(needle, "").alias("n")))
+    at = lambda x: F.filter(F.sequence(F.lit(1), F.greatest(F.size(x["t"]) - F.size(x["n"]) + 1, F.lit(1))), lambda i: F.slice(x["t"], i, F.size(x["n"])) == x["n"])
+    return F.when(ok, F.transform(split, at)[0]).otherwise(F.array().cast("array<int>"))
 
 
 def count_of(text: Column, needle: Column) -> Column:

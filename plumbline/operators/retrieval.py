@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.session import materialise
+
 K1, B = 1.5, 0.75
 RRF_K = 60
 
 
 @dataclass
 class Index:
-    """``postings``: ``id, term, tf``; ``docs``: ``id, dl``; ``terms``: ``term, df``; ``corpus``: one row ``n, avgdl``."""
+    """``postings``: ``id, term, tf``; ``docs``: ``id, dl, norm``; ``terms``: ``term, df``; ``corpus``: one row ``n, avgdl``."""
 
     postings: DataFrame
     docs: DataFrame
@@ -28,12 +30,35 @@ class Index:
 
 
 def build_index(docs: DataFrame, tokens: Column, id_col: str = "id") -> Index:
-    """Index of the token column; documents without tokens count in ``n`` and the mean length. Null ids aren't allowed; ids are unique."""
-    each = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
-    postings = each.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Index of the token column; documents without tokens count in ``n`` and the mean length. Null ids aren't allowed; ids are unique.
+
+    Texts are tokenised once; postings, lengths and norms of the weights are written to the shared folder, so that both arms of a
+    search and any number of searches read them.
+    """
+    each = materialise(docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")), "tokens")
+    postings = materialise(each.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lengths = each.select("id", F.size("tokens").alias("dl"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    return Index(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
+    weights = postings.join(terms, "term").join(F.broadcast(corpus)).select("id", ((1.0 + F.log("tf")) * _idf()).alias("w"))
+    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return Index(postings, materialise(lengths.join(norms, "id", "left"), "docs"), terms, materialise(corpus, "corpus"))
+
+
+def save_index(index: Index, folder: str) -> None:
+    """Writes the four tables; postings and terms are sorted by term, so that a search reads few row groups."""
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    index.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+    index.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+    index.corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "docs", "terms", "corpus")))
+
+
+def _idf() -> Column:
+    return F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0
 
 
 def query_terms(queries: DataFrame, tokens: Column, id_col: str = "qid") -> DataFrame:
@@ -61,15 +86,12 @@ def bm25(index: Index, q: DataFrame, allowed: DataFrame | None = None) -> DataFr
 
 def tfidf(index: Index, q: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """``qid, id, score``: cosine of weights (1 + ln tf)(ln((n + 1)/(df + 1)) + 1); unknown query terms count nowhere."""
-    idf = index.terms.join(F.broadcast(index.corpus)).select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    weights = index.postings.join(idf, "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = q.join(idf, "term").select("qid", "term", ((1.0 + F.log("qm")) * F.col("idf")).alias("qw"))
+    asked = q.join(index.terms, "term").join(F.broadcast(index.corpus)).withColumn("idf", _idf())
+    asked = asked.select("qid", "term", "idf", ((1.0 + F.log("qm")) * F.col("idf")).alias("qw"))
     qnorms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    if allowed is not None:
-        weights = weights.join(allowed.select("id").distinct(), "id", "left_semi")
-    dots = weights.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).where("dot > 0")
-    return dots.join(norms, "id").join(qnorms, "qid").select("qid", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
+    postings = index.postings if allowed is None else index.postings.join(allowed.select("id").distinct(), "id", "left_semi")
+    dots = postings.join(asked, "term").groupBy("qid", "id").agg(F.sum((1.0 + F.log("tf")) * F.col("idf") * F.col("qw")).alias("dot")).where("dot > 0")
+    return dots.join(index.docs, "id").join(qnorms, "qid").select("qid", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
 
 
 def fuse(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -100,25 +122,12 @@ def rerank(fused: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("qid", "id", F.round(score, 5).alias("final_score"), "rank_a", "rank_b", "fused_rank")
 
 
-# Colloquial phrases and the terms that they add to a query, unless other rules are given.
-EXPANSIONS = [
-    ("(马桶|地漏|水槽).{0,3}(堵塞|接头滴水|渗水)", "下水管 存水弯 管道疏通"),
-    ("(卫|浴室|厨房|阳台).{0,6}(渗水|返潮|发霉|泛碱)", "防水层 闭水试验 地漏"),
-    ("(墙|乳胶漆|护墙板|壁纸).{0,4}(开裂|起皮|空鼓|掉粉|起泡)", "腻子层 界面剂 基层处理"),
-    ("(木地板|踢脚线|门套).{0,4}(翘边|变形|异响|松动)", "防潮膜 伸缩缝 找平"),
-    ("(插座|开关面板|配电箱|弱电箱).{0,4}(跳闸|异响|松动)", "回路 漏电保护 线径"),
-    ("(窗|百叶窗|推拉门|玻璃门).{0,4}(漏风|关不严|合页下垂)", "密封条 合页 发泡胶"),
-    ("(瓷砖|岩板|门槛石|窗台石).{0,4}(空鼓|开裂|色差|崩角)", "瓷砖胶 留缝 基层"),
-    ("(暖气片|地暖管).{0,4}(温度上不去|渗水|异响)", "分集水器 排气阀 供水温度"),
-]
-
-
-def expand(queries: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``qid, question, added, expanded``: terms of all rules that fire, in rule order, each once, without those the question holds.
+def expand(queries: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``qid, question, added, expanded``: terms of all ``rules`` (pattern, terms separated by blanks) that fire, in rule order, each once, without those the question holds.
 
     The rules are literal patterns, each compiled once; a theta join with a table of patterns would compile per row.
     """
-    hits = [F.when(F.col("question").rlike(p), F.split(F.lit(t), " ")).otherwise(F.array().cast("array<string>")) for p, t in rules or EXPANSIONS]
+    hits = [F.when(F.col("question").rlike(p), F.split(F.lit(t), " ")).otherwise(F.array().cast("array<string>")) for p, t in rules]
     terms = F.filter(F.array_distinct(F.flatten(F.array(*hits))), lambda t: ~F.contains(F.col("question"), t))
     out = queries.withColumn("added", terms)
     return out.withColumn("expanded", F.when(F.size("added") > 0, F.concat_ws(" ", "question", F.array_join("added", " "))).otherwise(F.col("question")))

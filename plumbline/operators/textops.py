@@ -37,7 +37,7 @@ def probe(c: Column) -> Column:
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int = 50) -> DataFrame:
     """``id, chunk_no, chunk, completed``: runs of ``size`` characters; the last is completed. An empty text is one empty chunk, a null text none."""
     last = F.greatest(F.ceil(F.length(text_col) / size).cast("int") - 1, F.lit(0))
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(text_col), i * size + 1, F.lit(size)))
+    cut = F.when(F.col(text_col) == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text_col, F.lit(f"(?s)(.{{1,{size}}})"), 1))
     each = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), last.alias("last"), F.posexplode(cut).alias("chunk_no", "chunk"))
     return each.select("id", "chunk_no", "chunk", (F.col("chunk_no") == F.col("last")).alias("completed"))
 

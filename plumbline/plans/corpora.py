@@ -9,22 +9,26 @@ from plumbline.functions.tokens import tokens, tokens_sql
 from plumbline.session import table
 
 
+# Columns that decide between versions of one time.
+_TIES = ("title", "description", "severity")
+
+
 def latest_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version of each unit with the latest ``updated_at``."""
     u = table(spark, sf_dir, "knowledge_unit")
-    return u.groupBy("ku_id").agg(F.max_by(F.struct(*[c for c in u.columns if c != "ku_id"]), F.col("updated_at")).alias("v")).select("ku_id", "v.*")
+    return u.groupBy("ku_id").agg(F.max_by(F.struct(*[c for c in u.columns if c != "ku_id"]), F.struct("updated_at", *(F.coalesce(c, F.lit("")) for c in _TIES)).alias("o")).alias("v")).select("ku_id", "v.*")
 
 
-UNIT_SQL = "unit as (select * from knowledge_unit qualify row_number() over (partition by ku_id order by updated_at desc) = 1)"
+UNIT_SQL = "unit as (select * from knowledge_unit qualify row_number() over (partition by ku_id order by updated_at desc, coalesce(title, '') desc, coalesce(description, '') desc, coalesce(severity, '') desc) = 1)"
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The imported entries, the earliest import of each id."""
     e = table(spark, sf_dir, "knowledge_yuanqi_import")
-    return e.groupBy("id").agg(F.min_by(F.struct("category", "tags", "question", "answer", "source_file", "imported_at"), F.col("imported_at")).alias("v")).select("id", "v.*")
+    return e.groupBy("id").agg(F.min_by(F.struct("category", "tags", "question", "answer", "source_file", "imported_at"), F.struct("imported_at", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))).alias("v")).select("id", "v.*")
 
 
-ENTRY_SQL = "entry as (select * from knowledge_yuanqi_import qualify row_number() over (partition by id order by imported_at) = 1)"
+ENTRY_SQL = "entry as (select * from knowledge_yuanqi_import qualify row_number() over (partition by id order by imported_at, coalesce(question, ''), coalesce(answer, '')) = 1)"
 
 
 def unit_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

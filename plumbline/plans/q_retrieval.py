@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.tokens import DICTIONARY, HAN, alternation, dictionary_words, tokens, tokens_sql, windows
+from plumbline.functions.tokens import DICTIONARY, HAN, alternation, dictionary_words, every, tokens, tokens_sql, windows
 from plumbline.operators import retrieval as R
 from plumbline.plans import corpora as C
 from plumbline.plans.registry import query
@@ -14,11 +14,18 @@ from plumbline.plans.registry import query
 POOL, BEST = 15, 5
 
 
-def _parts(spark: SparkSession, sf_dir: str, allowed: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+# Rules of expansion for the test tables: defects that their questions name, and what to look for.
+EXPANSIONS = [
+    ("空鼓|掉粉|起皮", "基层 界面剂"), ("渗水|返潮|泛碱", "闭水 防水涂料"), ("发霉|起泡", "通风 腻子"), ("翘边|变形|松动", "伸缩缝 找平"), ("异响|跳闸", "线径 回路"),
+    ("漏风|关不严", "密封条 合页"), ("色差|划痕", "封样 批号"), ("预算|报价|人工费", "合同 付款"), ("瓷砖.{0,12}(开裂|崩角)", "瓷砖胶 填缝砂"), ("(地漏|马桶|水槽).{0,12}堵塞", "存水弯 检修口"),
+]
+
+
+def _parts(spark: SparkSession, sf_dir: str, allowed: str | None = None, expanded: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = C.unit_docs(spark, sf_dir)
     searches = C.searches(spark, sf_dir)
     index = R.build_index(docs, C.unit_tokens())
-    q = R.query_terms(searches, tokens(F.col("question")))
+    q = R.query_terms(R.expand(searches, EXPANSIONS) if expanded else searches, tokens(F.col("expanded" if expanded else "question")))
     only = docs.where(allowed).select("id") if allowed else None
     return docs, searches, R.bm25(index, q, only), R.tfidf(index, q, only)
 
@@ -48,8 +55,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuse(R.top_k(a, POOL), R.top_k(b, POOL))
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, allowed: str | None = None) -> DataFrame:
-    docs, searches, a, b = _parts(spark, sf_dir, allowed)
+def _hybrid(spark: SparkSession, sf_dir: str, allowed: str | None = None, expanded: bool = False) -> DataFrame:
+    docs, searches, a, b = _parts(spark, sf_dir, allowed, expanded)
     t = F.array_distinct(tokens(F.col("question")))
     long = F.filter(t, lambda x: F.length(x) >= 2)
     own = searches.select("qid", F.when(F.size(long) > 0, long).otherwise(t).alias("terms"))
@@ -79,18 +86,31 @@ def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, _FILTER)
 
 
-def _expand_sql() -> str:
-    rules = ", ".join(f"case when regexp_matches(question, '{p}') then string_split('{t}', ' ') else [] end" for p, t in R.EXPANSIONS)
+def _added_sql(source: str) -> str:
+    rules = ", ".join(f"case when regexp_matches(question, '{p}') then string_split('{t}', ' ') else [] end" for p, t in EXPANSIONS)
     # list_distinct doesn't keep the order, so each term is kept at its first place
-    return f"""with {C.ENTRY_SQL}, raw as (select id as qid, question, flatten([{rules}]) as t from entry where question is not null),
-    kept as (select qid, question, list_filter(t, lambda x, i: list_position(t, x) = i and not contains(question, x)) as added from raw)
-    select qid, added, case when len(added) > 0 then concat_ws(' ', question, array_to_string(added, ' ')) else question end as expanded from kept"""
+    return f"""raw as (select qid, question, flatten([{rules}]) as t from {source}),
+    kept as (select qid, question, list_filter(t, lambda x, i: list_position(t, x) = i and not contains(question, x)) as added from raw),
+    wide as (select qid, added, case when len(added) > 0 then concat_ws(' ', question, array_to_string(added, ' ')) else question end as expanded from kept)"""
+
+
+@query(
+    sql=C.INDEX_SQL.replace("\nasked as", "\n" + _added_sql("search") + ",\nasked as").replace(f"{tokens_sql('question')}) as term from search)", f"{tokens_sql('expanded')}) as term from wide)")
+    + "," + C.BM25_SQL + "," + C.TFIDF_SQL + _HYBRID
+)
+def hybrid_search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search for the question with the terms that the rules add; reranked by the question's own terms."""
+    return _hybrid(spark, sf_dir, expanded=True)
+
+
+def _expand_sql() -> str:
+    return f"with {C.ENTRY_SQL}, asked as (select id as qid, question from entry where question is not null), {_added_sql('asked')} select qid, added, expanded from wide"
 
 
 @query(sql=_expand_sql())
 def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question with the terms that the rules add."""
-    return R.expand(C.entries(spark, sf_dir).where("question is not null").select(F.col("id").alias("qid"), "question")).select("qid", "added", "expanded")
+    return R.expand(C.entries(spark, sf_dir).where("question is not null").select(F.col("id").alias("qid"), "question"), EXPANSIONS).select("qid", "added", "expanded")
 
 
 @query(sql=f"with {C.UNIT_SQL} select ku_id, title, case when length(how_to_avoid) > 50 then substr(how_to_avoid, 1, 50) || '...' else how_to_avoid end as avoid_short from unit")
@@ -195,7 +215,7 @@ def qa_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     kw = C.latest_units(spark, sf_dir).select("ku_id", F.explode(F.array_distinct("trigger_keywords")).alias("word"))
     lengths = kw.select(F.length("word").alias("n")).distinct()  # as many rows as there are lengths
     q = C.searches(spark, sf_dir).join(F.broadcast(lengths)).where(F.length("question") >= F.col("n"))
-    parts = q.select("qid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("question") - F.col("n") + 1), lambda i: F.substring(F.col("question"), i, F.col("n"))))).alias("word"))
+    parts = q.select("qid", F.explode(F.array_distinct(every(F.col("question"), F.col("n")))).alias("word"))
     return R.top_k(parts.join(kw, "word").groupBy("qid", "ku_id").agg(F.count(F.lit(1)).alias("score")), 3, tie="ku_id")
 
 
