@@ -12,6 +12,12 @@ ROLES = ["ROLE_OWNER", "ROLE_DESIGNER", "ROLE_CONTRACTOR", "ROLE_INDUSTRY"]
 TRADES = ["TRADE_DESIGN", "TRADE_DEMOLISH", "TRADE_PLUMBING", "TRADE_ELECTRICAL", "TRADE_WATERPROOF", "TRADE_TILE", "TRADE_CARPENTRY", "TRADE_PAINT", "TRADE_DOOR", "TRADE_CABINET", "TRADE_FLOOR", "TRADE_BATHROOM"]
 MATERIALS = ["MAT_PIPE", "MAT_WIRE", "MAT_CEMENT", "MAT_TILE", "MAT_BOARD", "MAT_PAINT", "MAT_GLUE", "MAT_HARDWARE", "MAT_APPLIANCE", "MAT_FURNITURE", "MAT_GLASS", "MAT_STONE", "MAT_NONE"]
 
+PROBLEMS = ["TYPE_FRAUD", "TYPE_QUALITY", "TYPE_OMISSION", "TYPE_DELAY", "TYPE_COST", "TYPE_COMMUNICATION"]
+SOURCES = ["official_report", "legal_case", "consumer_complaint", "industry_standard", "expert_opinion", "user_feedback", "media_report"]
+FREQUENCIES = ["极高频(>60%)", "高频(30-60%)", "中频(10-30%)", "低频(<10%)"]
+CONFIDENCES = ["高(多源验证)", "中(单源可靠)", "低(待验证)"]
+RELIABLE = ["RELIABLE", "CERTIFIED"]
+
 
 def ordinal(c: Column, codes: list[str], missing: int = 0) -> Column:
     """Place of a code in its order; ``missing`` for null and unknown ones."""
@@ -66,6 +72,17 @@ def coverage(counts: DataFrame, codes: DataFrame, weak: dict[str, int]) -> DataF
     return all_.withColumn("gap", F.when(F.col("n") == 0, "empty").when(F.col("n") < bound, "weak"))
 
 
+def recommendations(counts: DataFrame, codes: DataFrame, few: int = 10) -> DataFrame:
+    """``dim, key, n, priority`` of the codes to be filled: ``P0`` without units, ``P1`` with fewer than ``few``."""
+    all_ = codes.join(counts, ["dim", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return all_.where(F.col("n") < few).withColumn("priority", F.when(F.col("n") == 0, "P0").otherwise("P1"))
+
+
+def reliable_counts(units: DataFrame, by: str) -> DataFrame:
+    """``by, n, n_reliable``: units, and those of a reliable quality or better."""
+    return units.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("metadata.quality_level").isin(RELIABLE)).alias("n_reliable"))
+
+
 def neighbours(edges: DataFrame, units: DataFrame) -> DataFrame:
     """``ku_id, other, relation_type, via``: the other ends of each unit's edges that exist, in both directions; then its own listed
     units that no edge leads to, as ``CO_OCCURS``. Repeated edges count once."""

@@ -76,22 +76,6 @@ def coerce_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("stage_code", V.coerce(F.col("raw"), K.STAGES))
 
 
-# Words that make a question too broad.
-BROAD = ["所有", "一切", "全部", "任何", "怎么装修", "大概", "随便", "都行", "总结", "介绍一下"]
-
-
-@query(
-    sql=f"""select distinct log_id, case when coalesce(trim(user_query), '') = '' then 'empty' when length(trim(user_query)) < 8 then 'short' {' '.join(f"when contains(user_query, '{w}') then 'broad:{w}'" for w in BROAD)} end as reason from usage_log_entry"""
-)
-def narrow_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a query is too broad for a rule of its own, null if it isn't."""
-    q = F.col("user_query")
-    reason = F.when(V.blank(q), "empty").when(F.length(F.trim(q)) < 8, "short")
-    for w in BROAD:
-        reason = reason.when(F.contains(q, F.lit(w)), f"broad:{w}")
-    return table(spark, sf_dir, "usage_log_entry").select("log_id", reason.alias("reason")).distinct()
-
-
 _HALF = "date '2026-03-01'"
 
 
@@ -185,15 +169,6 @@ def rule_check_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.checked_rules(C.latest_units(spark, sf_dir), "ku_id", "description", table(spark, sf_dir, "verification_rules"), RULE_UNITS).withColumnRenamed("id", "ku_id")
 
 
-@query(
-    sql="""select distinct id, clause from (select id, clause, standard from verification_rules where standard like '%-201%') where regexp_matches(coalesce(clause, ''), '(^|[^0-9])([1-4][.][0-9]+)([^0-9]|$)')"""
-)
-def obsolete_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that cite a clause of the first four chapters of a standard of the 2010s, clause numbers bounded by other signs."""
-    r = table(spark, sf_dir, "verification_rules").where(F.contains("standard", F.lit("-201")))
-    return r.where(F.coalesce("clause", F.lit("")).rlike(r"(?<![0-9])[1-4][.][0-9]+(?![0-9])")).select("id", "clause").distinct()
-
-
 @query()
 def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of units with similar titles or similar descriptions."""
