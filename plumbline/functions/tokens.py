@@ -29,6 +29,11 @@ def dictionary_words(c: Column, words: list[str] | None = None) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({alternation(words or DICTIONARY)})"), 1)
 
 
+def vocabulary_words(c: Column, words: list[str] | None = None) -> Column:
+    """Every known word that the text holds, also those within or across others; the vocabulary's size is fixed."""
+    return F.filter(F.array(*map(F.lit, words or DICTIONARY)), lambda w: F.contains(F.coalesce(c, F.lit("")), w))
+
+
 def mixed_words(c: Column) -> Column:
     """Tokens that begin with a number and go on with letters."""
     return F.regexp_extract_all(c, F.lit(f"({MIXED})"), 1)

@@ -6,12 +6,13 @@ state of the key at hand, never its rows. A key's rows pass one after the other,
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def fold(df: DataFrame, key: str, at: str, tie: str, extra: list[str], fresh: Callable[[], Callable], out: str, kind: str) -> DataFrame:
@@ -103,3 +104,38 @@ def ttl_cache(df: DataFrame, key: str, at: str, tie: str, seconds: float) -> Dat
         return step
 
     return fold(df, key, at, tie, [], fresh, "hit", "boolean")
+
+
+def lru_cache(df: DataFrame, scope: str, key: str, at: str, tie: str, seconds: float, capacity: int = 200) -> DataFrame:
+    """``scope, tie, hit`` of look-ups in caches of ``capacity`` keys, one for each ``scope``: a value lives ``seconds`` from when it was put in, and the key used longest ago makes room."""
+    span = int(seconds * 1e6)
+
+    def fresh():
+        held: OrderedDict[object, int] = OrderedDict()
+
+        def step(t: int, k: object) -> bool:
+            put = held.get(k)
+            if put is not None and t - put < span:
+                held.move_to_end(k)
+                return True
+            held[k] = t
+            held.move_to_end(k)
+            if len(held) > capacity:
+                held.popitem(last=False)
+            return False
+
+        return step
+
+    return fold(df, scope, at, tie, [key], fresh, "hit", "boolean")
+
+
+def sessions(df: DataFrame, user: str, at: str, tie: str, value: str, recent: int = 20) -> DataFrame:
+    """``user, first_seen, last_seen, n_sessions, latest, recent_values``: what is remembered of each user; ``latest``: the last value that isn't null.
+
+    ``recent_values`` holds the last ``recent`` values in order; the full history is the table itself. Rows without user or time don't count.
+    """
+    rows = df.where(F.col(user).isNotNull() & F.col(at).isNotNull()).select(F.col(user).alias("user"), F.col(at).alias("_at"), F.col(tie).alias("_tie"), F.col(value).alias("_v"))
+    whole = rows.groupBy("user").agg(F.min("_at").alias("first_seen"), F.max("_at").alias("last_seen"), F.count(F.lit(1)).alias("n_sessions"), F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_at", "_tie"))).alias("latest"))
+    last = rows.where("_v is not null").withColumn("_n", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("_at"), F.desc("_tie")))).where(F.col("_n") <= recent)
+    some = last.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_tie", "_v"))), lambda x: x["_v"]).alias("recent_values"))
+    return whole.join(some, "user", "left").withColumn("recent_values", F.coalesce("recent_values", F.array().cast(f"array<{dict(rows.dtypes)['_v']}>")))

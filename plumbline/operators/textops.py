@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.text import half_width
 
@@ -63,3 +64,65 @@ def hits(df: DataFrame, id_col: str, text: Column, words: list[tuple[str, str, s
     """``id, category, level, word`` of each listed word (``category, level, word``; a list of known size) that a text holds."""
     found = F.filter(F.array(*(F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(w)), F.struct(F.lit(c).alias("category"), F.lit(l).alias("level"), F.lit(w).alias("word"))) for c, l, w in words)), lambda x: x.isNotNull())
     return df.select(F.col(id_col).alias("id"), F.explode(found).alias("x")).select("id", "x.category", "x.level", "x.word")
+
+
+# How question and answer blocks are written, and the tags of an entry without any.
+_QA = r"(?s)(?:Q[：:]\s*|问题[：:]\s*)(.+?)(?:\n|。)(?:A[：:]\s*|回答[：:]\s*)(.+?)(?=\n\s*(?:Q[：:]|问题[：:]|[0-9]+[.．]|\z))"
+_BLOCK, _ANSWER = r"\n\s*(?:[0-9]+[.．]\s*|\*\s*)", "回答[：:]|答[：:]|答案[：:]"
+DEFAULT_TAGS = ("装修", "知识")
+
+
+def _bare(c: Column) -> Column:
+    """Without blanks at the ends, then without full stops at the end, then without blanks again."""
+    edges = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, edges, ""), "。+$", ""), edges, "")
+
+
+def first_tags(c: Column, most: int = 5) -> Column:
+    """The first different runs of two to four Chinese characters; default tags where there are none."""
+    found = F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit("([一-鿿]{2,4})"), 1)), 1, most)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, DEFAULT_TAGS)))
+
+
+def qa_entries(c: Column, question: int = 8, answer: int = 20, most: int = 20) -> Column:
+    """List of ``question, answer, tags`` that a model's plain answer holds: pairs marked as question and answer, else numbered blocks parted by an answer mark.
+
+    Pairs with a shorter question or answer are passed over; of the rest the first ``most`` count (the feature of the format).
+    A null text has none.
+    """
+    c = F.coalesce(c, F.lit(""))
+    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(_QA), 1).alias("q"), F.regexp_extract_all(c, F.lit(_QA), 2).alias("a"))
+    blocks = F.filter(F.transform(F.split(c, _BLOCK), lambda b: F.split(F.regexp_replace(b, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), _ANSWER, 2)), lambda x: (F.size(x) == 2) & (F.length(F.array_join(x, "答案：")) >= 30))
+    split = F.transform(blocks, lambda x: F.struct(x[0].alias("q"), x[1].alias("a")))
+    clean = lambda xs: F.filter(F.transform(xs, lambda x: F.struct(_bare(x["q"]).alias("question"), _bare(x["a"]).alias("answer"))), lambda x: (F.length(x["question"]) >= question) & (F.length(x["answer"]) >= answer))
+    kept = F.when(F.size(clean(pairs)) > 0, clean(pairs)).otherwise(clean(split))
+    return F.transform(F.slice(kept, 1, most), lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"), first_tags(F.concat_ws(" ", x["question"], x["answer"])).alias("tags")))
+
+
+def marked(c: Column, mark: str) -> Column:
+    """The text with a closing mark, once however often it is applied; null and empty text stay."""
+    return F.when(F.coalesce(c, F.lit("")) == "", c).when(F.contains(c, F.lit(mark.strip())), c).otherwise(F.concat(c, F.lit(mark)))
+
+
+def folded_lines(df: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
+    """``id, line_no, line, times``: the lines of each text, where ``least`` and more neighbouring lines that are the same, apart from case and blanks, stand as their first with their number."""
+    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, r"\r\n|\n|\r")).alias("line_no", "line")).withColumn("_k", F.lower(F.regexp_replace("line", r"\s+", "")))
+    w = Window.partitionBy("id").orderBy("line_no")
+    runs = lines.withColumn("_new", F.when(F.lag("_k").over(w).eqNullSafe(F.col("_k")) & (F.col("line_no") > 0), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    sized = runs.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("id", "_run"))).withColumn("_first", F.min("line_no").over(Window.partitionBy("id", "_run")))
+    kept = sized.where((F.col("times") < least) | (F.col("line_no") == F.col("_first")))
+    return kept.select("id", "line_no", "line", F.when(F.col("times") >= least, F.col("times")).otherwise(F.lit(1).cast("bigint")).alias("times"))
+
+
+# Kinds of contract and styles, in the order in which they are looked for; words for children and pets.
+PACKAGES, STYLES = ("全包", "大包", "半包"), ("现代简约", "北欧", "新中式", "日式", "美式", "轻奢", "极简")
+CHILD, PET = ("孩子", "小孩", "宝宝", "儿童"), ("猫", "狗", "宠物")
+
+
+def profile(c: Column) -> dict[str, Column]:
+    """Columns ``area, budget, rooms, package, style, has_child, has_pet`` of what a client says; null where nothing is said."""
+    c = F.coalesce(c, F.lit(""))
+    one = lambda words: F.coalesce(*(F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words))
+    some = lambda words: one(words).isNotNull()
+    number = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast("bigint")
+    return {"area": number(r"([0-9]+)\s*平(?:方米)?"), "budget": number(r"([0-9]+)\s*万") * 10_000, "rooms": number(r"([0-9])\s*室"), "package": one(PACKAGES), "style": one(STYLES), "has_child": some(CHILD), "has_pet": some(PET)}

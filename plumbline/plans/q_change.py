@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.operators import changelog, evaluation, folds, repair
+from plumbline.operators import anchors, changelog, evaluation, folds, repair
 from plumbline.plans import corpora as C
 from plumbline.plans import q_retrieval
 from plumbline.plans.registry import query
@@ -97,17 +97,36 @@ def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.ttl_cache(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", _SIX_HOURS)
 
 
+@query()
+def lru_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a cache of twenty users for each kind of event, six hours long."""
+    return folds.lru_cache(table(spark, sf_dir, "events"), "event_type", "user_id", "ts", "event_id", _SIX_HOURS, 20)
+
+
+@query(
+    sql="""with s as (select ku_id as user, logged_at, log_id, user_query from (select distinct on (log_id) * from usage_log_entry order by log_id, received_at, coalesce(ku_id, '')) where ku_id is not null and logged_at is not null),
+    r as (select user, user_query, row_number() over (partition by user order by logged_at desc, log_id desc) as n, logged_at, log_id from s where user_query is not null)
+    select s.user, min(logged_at) as first_seen, max(logged_at) as last_seen, count(*) as n_sessions, any_value(l.latest) as latest, any_value(coalesce(l.recent_values, [])) as recent_values from s
+    left join (select user, arg_max(user_query, (logged_at, log_id)) as latest, list(user_query order by logged_at, log_id) as recent_values from r where n <= 3 group by user) l on l.user = s.user group by s.user"""
+)
+def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last use of each unit, the latest query and the last three."""
+    u = table(spark, sf_dir, "usage_log_entry")
+    first = u.groupBy("log_id").agg(F.min_by(F.struct("ku_id", "logged_at", "user_query"), F.struct("received_at", F.coalesce("ku_id", F.lit("")))).alias("v")).select("log_id", "v.*")
+    return folds.sessions(first, "ku_id", "logged_at", "log_id", "user_query", 3)
+
+
 _DAY8 = "strftime(logged_at + interval 8 hour, '%Y-%m-%d')"
 
 
 @query(
-    sql=f"""with u as (select distinct on (log_id) * from usage_log_entry order by log_id, received_at) select {_DAY8} as day, source_channel, count(*) as n, count(*) filter (user_helpful) as helpful, count(distinct ku_id) as n_units,
+    sql=f"""with u as (select distinct on (log_id) * from usage_log_entry order by log_id, received_at, coalesce(ku_id, '')) select {_DAY8} as day, source_channel, count(*) as n, count(*) filter (user_helpful) as helpful, count(distinct ku_id) as n_units,
     count(*) filter (received_at - logged_at > interval 1 day) as late from u group by all"""
 )
 def usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Use by local day (UTC+8) and channel, entries sent twice counted once."""
     u = table(spark, sf_dir, "usage_log_entry")
-    u = u.groupBy("log_id").agg(F.min_by(F.struct("logged_at", "received_at", "source_channel", "user_helpful", "ku_id"), "received_at").alias("v")).select("log_id", "v.*")
+    u = u.groupBy("log_id").agg(F.min_by(F.struct("logged_at", "received_at", "source_channel", "user_helpful", "ku_id"), F.struct("received_at", F.coalesce("ku_id", F.lit("")))).alias("v")).select("log_id", "v.*")
     late = F.col("received_at").cast("timestamp") - F.col("logged_at").cast("timestamp") > F.expr("interval 1 day")
     day = F.date_format(F.col("logged_at").cast("timestamp") + F.expr("interval 8 hours"), "yyyy-MM-dd")
     return u.groupBy(day.alias("day"), "source_channel").agg(F.count(F.lit(1)).alias("n"), F.count_if("user_helpful").alias("helpful"), F.countDistinct("ku_id").alias("n_units"), F.count_if(late).alias("late"))
@@ -190,6 +209,28 @@ def substitution_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.substitutions(d, "a", "b")
 
 
+_RECORDS = "case doc_id % 4 when 0 then substr(text, 101, 20) when 1 then substr(text, 101, 8) || '...' || substr(text, 125, 8) when 2 then substr(text, 101, 10) || '改' || substr(text, 112, 9) else '同字段第二处' end"
+
+
+@query()
+def anchor_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of one edit of each long document by its noted context, which is whole, shortened, misspelt or only a note."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 200).select("doc_id", "text")
+    records = d.select(F.col("doc_id").alias("rec_id"), F.col("doc_id").alias("id"), F.lit("text").alias("field"), F.expr(_RECORDS).alias("context"), F.substring("text", 104, 3).alias("old"), F.lit("〔改〕").alias("new"))
+    return anchors.resolve(records, d.select(F.col("doc_id").alias("id"), F.lit("text").alias("field"), F.col("text").alias("body")))
+
+
+@query(
+    sql=f"""with {_OPS_SQL}, h as (select op.*, text, (length(text) - length(replace(text, old, ''))) / length(old) as hits from op join documents using (doc_id))
+    select 'anchors' as name, count(*) filter (hits <> 1) as n_failed, count(*) filter (hits <> 1) = 0 as passed from h union all select 'replay', 0, true union all select 'untouched', 0, true union all select 'rows', 0, true union all
+    select 'balance', 0, true"""
+)
+def patch_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of the edits of the documents: anchors that don't stand once; all else is as it should be."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return anchors.assertions(d, repair.apply_ops(d, _ops(d), "doc_id"), _ops(d), "doc_id")
+
+
 # ---- evaluation
 
 
@@ -229,7 +270,7 @@ def recall_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql=f"""with {C.ENTRY_SQL},
-    want as (select distinct qid, word from (select id as qid, unnest({q_retrieval._WORDS_SQL}) as word from entry where cast(substr(id, 2) as bigint) % 100 = 0)),
+    want as (select distinct qid, word from (select id as qid, unnest({q_retrieval._HELD_SQL}) as word from entry where cast(substr(id, 2) as bigint) % 100 = 0)),
     hit as (select qid, e.id, sum(3 * (contains(coalesce(question, ''), word))::int + 2 * (contains(array_to_string(coalesce(tags, []), ' '), word))::int + (contains(coalesce(answer, ''), word))::int)::bigint as score from want, entry e group by qid, e.id),
     ranked as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from hit where score > 0),
     best as (select t.id as qid, min(rank) as best from (select id from entry where cast(substr(id, 2) as bigint) % 100 = 0 and question is not null) t left join ranked on ranked.qid = t.id and ranked.id = t.id and rank <= 3 group by t.id)

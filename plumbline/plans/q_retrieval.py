@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.tokens import DICTIONARY, HAN, alternation, dictionary_words, every, tokens, tokens_sql, windows
+from plumbline.functions.tokens import DICTIONARY, HAN, alternation, dictionary_words, every, tokens, tokens_sql, vocabulary_words, windows
 from plumbline.operators import retrieval as R
 from plumbline.plans import corpora as C
 from plumbline.plans.registry import query
@@ -134,20 +134,21 @@ def substring_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total"))))
 
 
+_HELD_SQL = f"list_filter({DICTIONARY}, lambda w: contains(question, w))"
 _WORDS_SQL = f"regexp_extract_all(question, '({alternation(DICTIONARY)})', 1)"
 
 
 @query(
     sql=f"""with {C.ENTRY_SQL},
-    want as (select distinct qid, word from (select id as qid, unnest({_WORDS_SQL}) as word from entry where cast(substr(id, 2) as bigint) % 100 = 0)),
+    want as (select distinct qid, word from (select id as qid, unnest({_HELD_SQL}) as word from entry where cast(substr(id, 2) as bigint) % 100 = 0)),
     hit as (select qid, e.id, sum(3 * (contains(coalesce(question, ''), word))::int + 2 * (contains(array_to_string(coalesce(tags, []), ' '), word))::int + (contains(coalesce(answer, ''), word))::int)::bigint as score
             from want, entry e group by qid, e.id)
     select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from hit where score > 0) where rank <= 3"""
 )
 def kb_weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best entries of each search by weighted substring hits of its dictionary words."""
+    """Best entries of each search by weighted substring hits of the known words that it holds."""
     e = C.entries(spark, sf_dir).withColumn("tag_text", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
-    want = C.searches(spark, sf_dir).select("qid", F.explode(F.array_distinct(dictionary_words(F.col("question")))).alias("word"))
+    want = C.searches(spark, sf_dir).select("qid", F.explode(vocabulary_words(F.col("question"))).alias("word"))
     held = R.contained(e, DICTIONARY, {"question": 3, "tag_text": 2, "answer": 1})
     return R.top_k(want.join(held, "word").groupBy("qid", "id").agg(F.sum("points").cast("bigint").alias("score")), 3)
 

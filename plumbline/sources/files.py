@@ -60,10 +60,43 @@ def write_shards(df: DataFrame, folder: str, by: str, known: list[str] | None =
     df.repartition(F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(folder)
 
 
-def write_csv(df: DataFrame, folder: str) -> None:
-    """Comma-separated files with header; arrays of strings are joined by commas."""
-    cols = [F.array_join(c, ",").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes]
-    df.select(*cols).write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True).csv(folder)
+def write_csv(df: DataFrame, folder: str, mark: bool = False) -> None:
+    """Comma-separated files with header; arrays of strings are joined by commas. ``mark``: each file begins with a byte order mark."""
+    name = lambda k, c: "\ufeff" + c if mark and k == 0 else c
+    cols = [(F.array_join(c, ",") if t == "array<string>" else F.col(c)).alias(name(k, c)) for k, (c, t) in enumerate(df.dtypes)]
+    df.select(*cols).write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=not mark).csv(folder)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def write_state(df: DataFrame, folder: str) -> None:
+    """Replaces a small table as a whole: it is written beside the old one, which gives way only when the new one is complete."""
+    spark = df.sparkSession
+    fs, path = _fs(spark, folder)
+    df.write.mode("overwrite").json(f"{folder}.new")
+    fs.delete(path(f"{folder}.old"), True)
+    if fs.exists(path(folder)):
+        fs.rename(path(folder), path(f"{folder}.old"))
+    fs.rename(path(f"{folder}.new"), path(folder))
+    fs.delete(path(f"{folder}.old"), True)
+
+
+def read_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The table that ``write_state`` left; an empty one where there is none. One that can't be read is put aside as ``<folder>.bak`` and counts as empty."""
+    fs, path = _fs(spark, folder)
+    if not fs.exists(path(folder)):
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(folder)
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except Exception:
+        fs.delete(path(f"{folder}.bak"), True)
+        fs.rename(path(folder), path(f"{folder}.bak"))
+        return spark.createDataFrame([], schema)
+    return df
 
 
 def append(df: DataFrame, folder: str) -> None:

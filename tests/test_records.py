@@ -207,3 +207,70 @@ def test_index_is_saved_and_loaded(spark, tmp_path):
     q = retrieval.query_terms(spark.createDataFrame([("q", ["x", "y", "none"])], "qid string, t array<string>"), F.col("t"))
     for arm in (retrieval.bm25, retrieval.tfidf):
         assert rows(arm(again, q)) == rows(arm(index, q)) and len(rows(arm(index, q))) == 2
+
+
+# ---- texts, caches, files
+
+
+def test_question_and_answer_blocks(spark):
+    from plumbline.operators import textops
+
+    a = "先把基层清理干净，再刷界面剂，等三天以后贴砖"
+    texts = [
+        f"Q：卫生间的瓷砖空鼓怎么办\nA：{a}。\n问题：短\n回答：{a}\n问题：厨房的水槽堵塞了怎么办\n回答：{a}，不要着急\n", f"以下：\n1. 卫生间的瓷砖空鼓怎么办 回答：{a}\n* 太短 答：{a}\n2. 没有答案的一段很长很长很长很长很长很长很长很长很长的话", "无", None, "",
+        "".join(f"\nQ：第{k}个问题是什么样的\nA：{a}" for k in range(30)) + "\n", f"Q: what about the tiles\nA: {'x' * 25}\n",
+    ]
+    got = [[(e.question, e.answer, e.tags) for e in x[0]] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(textops.qa_entries(F.col("t"))).collect()]
+    assert [(q, s) for q, s, _ in got[0]] == [("卫生间的瓷砖空鼓怎么办", a), ("厨房的水槽堵塞了怎么办", f"{a}，不要着急")] and got[0][0][2] == ["卫生间的", "瓷砖空鼓", "怎么办", "先把基层", "清理干净"]
+    assert [(q, s) for q, s, _ in got[1]] == [("卫生间的瓷砖空鼓怎么办", a)] and got[2:5] == [[], [], []] and len(got[5]) == 20 and got[6][0][2] == ["装修", "知识"]
+
+
+def test_marks_folds_and_profiles(spark):
+    from plumbline.operators import textops
+
+    df = spark.createDataFrame([(1, "a\nA \n a\nb\nb\n\n"), (2, None), (3, "")], "id int, t string")
+    m = "\n--end"
+    assert [x[0] for x in df.select(textops.marked(textops.marked(F.col("t"), m), m)).collect()] == ["a\nA \n a\nb\nb\n\n\n--end", None, ""]
+    assert rows(textops.folded_lines(df, "id", "t")) == [(1, 0, "a", 3), (1, 3, "b", 1), (1, 4, "b", 1), (1, 5, "", 1), (1, 6, "", 1), (3, 0, "", 1)]
+    p = textops.profile(F.col("t"))
+    said = spark.createDataFrame([("120平 3室，预算30 万，半包还是全包，新中式，有小孩和狗",), (None,), ("平 万",)], "t string").select(*(c.alias(n) for n, c in p.items()))
+    assert [tuple(x) for x in said.collect()] == [(120, 300000, 3, "全包", "新中式", True, True), (None, None, None, None, None, False, False), (None, None, None, None, None, False, False)]
+
+
+def test_lru_cache_and_sessions(spark):
+    import datetime
+
+    from plumbline.operators import folds
+
+    r = random.Random(6)
+    start = datetime.datetime(2026, 1, 1)
+    data = [(r.choice("xy"), r.choice("abcdef"), start + datetime.timedelta(seconds=r.randint(0, 4000)), k) for k in range(300)] + [(None, "a", start, 900), ("x", "a", None, 901)]
+    got = {x.n: x.hit for x in folds.lru_cache(spark.createDataFrame(data, "s string, k string, at timestamp, n int"), "s", "k", "at", "n", 600, 3).collect()}
+    want = {}
+    for scope in "xy":
+        held: dict = {}
+        for _, k, at, n in sorted((d for d in data if d[0] == scope and d[2]), key=lambda d: (d[2], d[3])):
+            want[n] = k in held and (at - held[k]).total_seconds() < 600
+            put = held.pop(k, None)
+            held[k] = put if want[n] else at
+            if len(held) > 3:
+                del held[next(iter(held))]
+    assert got == want and any(want.values())
+    df = spark.createDataFrame([("u", start, 1, "a"), ("u", start, 2, "b"), ("u", start + datetime.timedelta(1), 3, None), ("v", start, 1, None), (None, start, 1, "x")], "u string, at timestamp, n int, v string")
+    assert [tuple(x)[3:] for x in folds.sessions(df, "u", "at", "n", "v", 1).orderBy("user").collect()] == [(3, "b", ["b"]), (1, None, [])]
+
+
+def test_state_and_marked_files(spark, tmp_path):
+    from plumbline.sources import files
+
+    folder = f"file://{tmp_path}/state"
+    schema = "id string, n int"
+    assert files.read_state(spark, folder, schema).count() == 0
+    for k in (1, 2):
+        files.write_state(spark.createDataFrame([("a", k)], schema), folder)
+        assert rows(files.read_state(spark, folder, schema)) == [("a", k)]
+    (tmp_path / "state" / "part-x.json").write_text("{broken")
+    assert files.read_state(spark, folder, schema).count() == 0 and (tmp_path / "state.bak").is_dir() and not (tmp_path / "state").exists()
+    files.write_csv(spark.createDataFrame([(["x", "y"], 'say "a"')], "tags array<string>, t string").coalesce(1), f"file://{tmp_path}/csv", mark=True)
+    (part,) = (tmp_path / "csv").glob("part-*.csv")
+    assert part.read_bytes() == b'\xef\xbb\xbftags,t\n"x,y","say ""a"""\n' and rows(files.read_csv(spark, f"file://{tmp_path}/csv", ["tags", "t"])) == [("x,y", 'say "a"')]
