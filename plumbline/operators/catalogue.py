@@ -95,7 +95,19 @@ def neighbours(edges: DataFrame, units: DataFrame) -> DataFrame:
     return by_edge.select("ku_id", "other", "relation_type", "via").unionByName(rest)
 
 
-def dangling(units: DataFrame) -> DataFrame:
-    """``ku_id, missing_id``: listed units that don't exist."""
-    listed = units.select("ku_id", F.explode(F.array_distinct("related_ku_ids")).alias("missing_id")).where("missing_id is not null")
+def edges_where(edges: DataFrame, source: str | None = None, target: str | None = None, either: str | None = None, relation_type: str | None = None) -> DataFrame:
+    """Edges from ``source``, to ``target``, at ``either`` end of a unit and of a type, as far as these are given."""
+    for c, v in (("source_ku_id", source), ("target_ku_id", target), ("relation_type", relation_type)):
+        if v is not None:
+            edges = edges.where(F.col(c) == v)
+    return edges if either is None else edges.where((F.col("source_ku_id") == either) | (F.col("target_ku_id") == either))
+
+
+def dangling(units: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``ku_id, missing_id``: listed units, and other ends of ``edges``, that don't exist. Nulls and blanks don't count."""
+    listed = units.select("ku_id", F.explode(F.array_distinct("related_ku_ids")).alias("missing_id"))
+    if edges is not None:
+        ends = [edges.select(F.col(a).alias("ku_id"), F.col(b).alias("missing_id")) for a, b in (("source_ku_id", "target_ku_id"), ("target_ku_id", "source_ku_id"))]
+        listed = listed.unionByName(ends[0]).unionByName(ends[1]).distinct()
+    listed = listed.where("trim(missing_id) <> ''")
     return listed.join(units.select(F.col("ku_id").alias("missing_id")), "missing_id", "left_anti").select("ku_id", "missing_id")

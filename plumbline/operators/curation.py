@@ -157,10 +157,11 @@ def similar_texts(texts: DataFrame, least: float, block: int = 8192) -> DataFram
     return met.groupBy("lo", "hi").applyInArrow(run, f"k_a {kind}, k_b {kind}")
 
 
-def similar_titles(df: DataFrame, id_col: str, title: str, text: str, title_least: float = 0.8, text_least: float = 0.7, piece: int = 2) -> DataFrame:
+def similar_titles(df: DataFrame, id_col: str, title: str, text: str, title_least: float = 0.8, text_least: float = 0.7, later_first: bool = False) -> DataFrame:
     """``id_a, id_b, title_ratio, text_ratio`` of all pairs of records (by id, a < b) with a similar title or a similar text.
 
-    Titles and texts, equal ones once, are each paired by ``similar_texts`` and bring all their records.
+    Titles and texts, equal ones once, are each paired by ``similar_texts`` and bring all their records. The ratio depends on the
+    order of the two; ``later_first`` takes that of b before a.
     """
     r = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x")).distinct()
 
@@ -177,7 +178,7 @@ def similar_titles(df: DataFrame, id_col: str, title: str, text: str, title_leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            ta, tb, xa, xb = (p.column(c).to_pylist() for c in ("ta", "tb", "xa", "xb"))
+            ta, tb, xa, xb = (p.column(c).to_pylist() for c in (("tb", "ta", "xb", "xa") if later_first else ("ta", "tb", "xa", "xb")))
             t = [_bounded_ratio(x, y, title_least) for x, y in zip(ta, tb, strict=True)]
             x = [_bounded_ratio(u, v, text_least) for u, v in zip(xa, xb, strict=True)]
             keep = pa.array([u >= title_least or v >= text_least for u, v in zip(t, x, strict=True)], pa.bool_())
@@ -187,6 +188,23 @@ def similar_titles(df: DataFrame, id_col: str, title: str, text: str, title_leas
     return pairs.join(sides[0], "id_a").join(sides[1], "id_b").mapInArrow(run, f"id_a {kind}, id_b {kind}, title_ratio double, text_ratio double")
 
 
+def first_similar(existing: DataFrame, batch: DataFrame, id_col: str, title: str, text: str, order: str, title_least: float = 0.8, text_least: float = 0.7) -> DataFrame:
+    """``id, similar_to, ratio``: for each record of a batch the most similar one among those that exist and those before it in the batch; none for records without any.
+
+    ``order``: place in the batch, from 0; ids are unique over both tables. The ratio is the greater of both fields'; of equal ones
+    the earlier record counts, existing ones (by id) first.
+    """
+    old = existing.select(F.col(id_col).alias("id"), title, text, F.lit(-1).cast("bigint").alias("_o"))
+    new = batch.select(F.col(id_col).alias("id"), title, text, F.col(order).cast("bigint").alias("_o"))
+    place = F.struct("_o", F.col("id").cast("string").alias("id"))
+    both = old.unionByName(new).withColumn("_place", place)
+    pairs = similar_titles(both.select("_place", title, text), "_place", title, text, title_least, text_least, later_first=True)
+    found = materialise(pairs.where(F.col("id_b")["_o"] >= 0).withColumn("ratio", F.greatest("title_ratio", "text_ratio")), "similar")
+    best = found.groupBy("id_b").agg(F.max("ratio").alias("ratio"))
+    first = found.join(best, ["id_b", "ratio"]).groupBy("id_b", "ratio").agg(F.min("id_a").alias("id_a"))
+    return first.select(F.col("id_b")["id"].alias("id"), F.col("id_a")["id"].alias("similar_to"), "ratio")
+
+
 # What after a number makes it a condition, not a limit.
 CONDITIONAL = ["时", "以下", "以上", "之间", "面积", "1/3", "允许", "靠尺", "套尺", "处"]
 

@@ -9,7 +9,7 @@ from plumbline.session import materialise
 
 
 def _neighbours(e: DataFrame) -> DataFrame:
-    """Both directions of each link, with the least neighbour (or the node itself) beside it. Salted, as hubs may hold a third of all links."""
+    """Both directions of each link, with the least neighbour (or the node itself) beside it. A hub's links are split over tasks by adaptive execution, as its side of the join has one row for each node."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     return both.join(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "u")
 

@@ -73,3 +73,29 @@ def substitutions(pairs: DataFrame, before: str, after: str) -> DataFrame:
     same = pairs.where(F.length(before) == F.length(after))
     z = same.select(F.explode(F.arrays_zip(F.split(before, "").alias("a"), F.split(after, "").alias("b"))).alias("x"))
     return z.where("x.a <> x.b").groupBy(F.col("x.a").alias("old_char"), F.col("x.b").alias("new_char")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def apply_at(texts: DataFrame, edits: DataFrame, id_col: str) -> DataFrame:
+    """Texts after edits ``id, pos, old, new`` at places (from 1) that don't overlap, from the last to the first; an edit whose ``old`` doesn't stand at its place does nothing."""
+    each = edits.where("pos is not null and old is not null").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("back"), "old", F.coalesce("new", F.lit("")).alias("new")))).alias("_edits"))
+    at = lambda t, e: F.substring(t, (-e["back"]).cast("int"), F.length(e["old"])) == e["old"]
+    put = lambda t, e: F.when(at(t, e), F.overlay(t, e["new"], (-e["back"]).cast("int"), F.length(e["old"]))).otherwise(t)
+    j = texts.join(each, id_col, "left")
+    return j.withColumn("text", F.when(F.col("_edits").isNull(), F.col("text")).otherwise(F.aggregate("_edits", F.col("text"), put))).drop("_edits")
+
+
+def balance(ledger: DataFrame) -> DataFrame:
+    """``char, gained, lost, net`` of a ledger ``old_char, new_char, n``; the net of all characters adds up to nothing."""
+    both = ledger.select(F.col("new_char").alias("char"), F.col("n").alias("gained"), F.lit(0).cast("bigint").alias("lost")).unionByName(ledger.select(F.col("old_char").alias("char"), F.lit(0).cast("bigint").alias("gained"), F.col("n").alias("lost")))
+    out = both.groupBy("char").agg(F.sum("gained").alias("gained"), F.sum("lost").alias("lost"))
+    return out.withColumn("net", F.col("gained") - F.col("lost"))
+
+
+def census_gate(before: DataFrame, after: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """``needle, n_before, n_after, kept``: whether each word occurs as often as before and the expected number more (or, negative, fewer)."""
+    def count(df: DataFrame, name: str) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(w).alias("needle"), count_of(F.col("text"), F.lit(w)).alias("n")) for w in expected))
+        return df.select(F.explode(each).alias("x")).groupBy("x.needle").agg(F.sum("x.n").alias(name))
+
+    more = F.create_map(*(x for w, n in expected.items() for x in (F.lit(w), F.lit(n))))
+    return count(before, "n_before").join(count(after, "n_after"), "needle", "full_outer").withColumn("kept", F.coalesce(F.col("n_after") == F.col("n_before") + F.element_at(more, F.col("needle")), F.lit(False)))

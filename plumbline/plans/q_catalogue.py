@@ -74,14 +74,17 @@ def related_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql="select distinct rel_id, source_ku_id, target_ku_id from ku_relations_v1 where relation_type = 'CAUSES' and (source_ku_id = 'GZ-SY-00001' or target_ku_id = 'GZ-SY-00001')")
 def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a type at a unit."""
-    e = table(spark, sf_dir, "ku_relations_v1").where("relation_type = 'CAUSES' and (source_ku_id = 'GZ-SY-00001' or target_ku_id = 'GZ-SY-00001')")
-    return e.select("rel_id", "source_ku_id", "target_ku_id").distinct()
+    return K.edges_where(table(spark, sf_dir, "ku_relations_v1"), either="GZ-SY-00001", relation_type="CAUSES").select("rel_id", "source_ku_id", "target_ku_id").distinct()
 
 
-@query(sql=f"with {C.UNIT_SQL}, l as (select distinct ku_id, unnest(related_ku_ids) as missing_id from unit) select ku_id, missing_id from l where missing_id is not null and missing_id not in (select ku_id from unit)")
+@query(
+    sql=f"""with {C.UNIT_SQL}, l as (select ku_id, unnest(related_ku_ids) as missing_id from unit union all select source_ku_id, target_ku_id from ku_relations_v1 union all select target_ku_id, source_ku_id from ku_relations_v1)
+    select distinct ku_id, missing_id from l where trim(missing_id) <> '' and missing_id not in (select ku_id from unit)"""
+)
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed units that don't exist."""
-    return K.dangling(C.latest_units(spark, sf_dir))
+    """Listed units and ends of edges that don't exist."""
+    return K.dangling(C.latest_units(spark, sf_dir), table(spark, sf_dir, "ku_relations_v1"))
+
 
 
 

@@ -231,6 +231,56 @@ def patch_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.assertions(d, repair.apply_ops(d, _ops(d), "doc_id"), _ops(d), "doc_id")
 
 
+@query(sql="select doc_id, case when length(text) > 20 then md5(substr(text, 1, 14) || '〔改〕' || substr(text, 17)) else md5(text) end as text_md5 from documents")
+def patch_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document after an edit at a place."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = d.where(F.length("text") > 20).select("doc_id", F.lit(15).alias("pos"), F.substring("text", 15, 2).alias("old"), F.lit("〔改〕").alias("new"))
+    return repair.apply_at(d, edits, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    sql=f"""with w as (select doc_id, unnest(list_transform({list(range(14, 91, 8))}, lambda s: {{'s': s, 'cut': substr(text, greatest(120 - s, 1), 120 + s - greatest(120 - s, 1) + 1)}})) as w, text from documents where length(text) >= 120),
+    h as (select doc_id, w.s as s, w.cut as cut, (length(text) - length(replace(text, w.cut, ''))) / length(w.cut) as hits from w)
+    select doc_id, arg_min(cut, s) filter (hits = 1) as unique_window from h group by doc_id"""
+)
+def unique_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest window around the 120th character of each document that stands in it once."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 120)
+    return d.select("doc_id", repair.unique_window(F.col("text"), F.lit(120)).alias("unique_window"))
+
+
+@query(
+    sql="""with c as (select text as a, translate(text, '的了在不', '地啦再未') as b from documents where text is not null),
+    z as (select unnest(string_split(a, '')) as x, unnest(string_split(b, '')) as y from c where length(a) = length(b)), l as (select x, y, count(*) as n from z where x <> y group by x, y),
+    s as (select y as char, n as gained, 0 as lost from l union all select x, 0, n from l) select char, sum(gained)::bigint as gained, sum(lost)::bigint as lost, (sum(gained) - sum(lost))::bigint as net from s group by char"""
+)
+def ledger_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each character gains and loses by the substitution; in all, nothing."""
+    return repair.balance(substitution_ledger(spark, sf_dir))
+
+
+@query(
+    sql="""with c as (select w, sum((length(text) - length(replace(text, w, ''))) / length(w))::bigint as n_before, sum((length(replace(text, '防水', '止水')) - length(replace(replace(text, '防水', '止水'), w, ''))) / length(w))::bigint as n_after
+    from documents, (select unnest(['防水', '止水', '水', '，']) as w) group by w) select w as needle, n_before, n_after, n_after = n_before + 0 as kept from c"""
+)
+def census_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words counted before and after a replacement, and whether their numbers are unchanged."""
+    d = table(spark, sf_dir, "documents").select("text")
+    return repair.census_gate(d, d.select(F.replace("text", F.lit("防水"), F.lit("止水")).alias("text")), dict.fromkeys(["防水", "止水", "水", "，"], 0))
+
+
+@query(
+    sql="select strftime(ts + interval 8 hour, '%Y-%m-%d') as day, event_type, count(*) as n, sum(round(value * 100)::bigint)::bigint as total_cents, (sum(round(value * 100)::bigint) // count(*))::bigint as mean_cents from events where value >= 0 group by all"
+)
+def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, sum and mean (whole cents) of the events' values by local day (UTC+8) and kind."""
+    day = F.date_format(F.col("ts").cast("timestamp") + F.expr("interval 8 hours"), "yyyy-MM-dd")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    sums = table(spark, sf_dir, "events").where("value >= 0").groupBy(day.alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("total_cents"))
+    return sums.withColumn("mean_cents", F.expr("total_cents div n"))
+
+
 # ---- evaluation
 
 

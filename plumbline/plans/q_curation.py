@@ -173,3 +173,11 @@ def rule_check_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of units with similar titles or similar descriptions."""
     return V.similar_titles(C.latest_units(spark, sf_dir), "ku_id", "title", "description")
+
+
+@query()
+def batch_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of all stages but the first as a batch: the most similar unit of the first stage or before it in the batch."""
+    u = C.latest_units(spark, sf_dir)
+    place = F.substring("ku_id", 7, 10).cast("bigint")
+    return V.first_similar(u.where("stage = 'STAGE_01'"), u.where("stage <> 'STAGE_01'").withColumn("place", place), "ku_id", "title", "description", "place")

@@ -94,19 +94,16 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
     _written[path] = spark
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark.conf.get(_CLEANUP, "false") != "true":  # from here on in this session, so that threads don't disturb each other
+        spark.conf.set(_CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path  # for ``drop``
+    return out
 
 
 def drop(df: DataFrame) -> None:
     """Removes the files of a table made by ``materialise`` that nothing needs any longer."""
-    for f in df.inputFiles():
-        path = f.rpartition("/")[0]
-        for known in list(_written):
-            if path.split(":", 1)[-1].lstrip("/") == known.split(":", 1)[-1].lstrip("/"):
-                _remove(known, _written.pop(known))
+    path = getattr(df, "_plumbline_path", None)
+    if path in _written:
+        _remove(path, _written.pop(path))

@@ -46,6 +46,12 @@ def read_map(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(f"`{name}` map<string, int>").option("multiLine", True).json(path).select(F.explode(name).alias("clause", "page"))
 
 
+def read_small(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small JSON table that is read anew by every query; an empty one where the file is missing."""
+    fs, p = _fs(spark, path)
+    return spark.read.schema(schema).option("multiLine", True).json(path) if fs.exists(p(path)) else spark.createDataFrame([], schema)
+
+
 def write_version(df: DataFrame, folder: str) -> str:
     """Writes a new version beside the earlier ones and returns its path; nothing is overwritten, so what reads an earlier version may go on."""
     path = f"{folder}/v={int(time.time() * 1e6)}"

@@ -448,3 +448,10 @@ def test_streams(spark, sf, tmp_path):
     _run_once(r.writeStream.outputMode("append").format("memory").queryName("limited"))
     saved = spark.read.parquet(str(tmp_path / "ev"))
     assert rows(spark.table("limited"), "event_id", "accepted") == rows(folds.rate_limit(saved, "user_id", "ts", "event_id", 2, 6 * 3600), "event_id", "accepted")
+    ev = ev.withColumn("failed", F.col("event_id") % 3 != 0)
+    ev.coalesce(1).write.parquet(str(tmp_path / "calls"))
+    calls, saved = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "calls")), spark.read.parquet(str(tmp_path / "calls"))
+    _run_once(usage.broken(calls, 2, 3 * 3600).writeStream.outputMode("append").format("memory").queryName("broken"))
+    assert rows(spark.table("broken"), "event_id", "outcome") == rows(folds.breaker(saved, "user_id", "ts", "event_id", "failed", 2, 3 * 3600), "event_id", "outcome")
+    _run_once(usage.cached(calls, 6 * 3600).writeStream.outputMode("append").format("memory").queryName("cached"))
+    assert rows(spark.table("cached"), "event_id", "hit") == rows(folds.ttl_cache(saved, "user_id", "ts", "event_id", 6 * 3600), "event_id", "hit")

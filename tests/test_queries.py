@@ -37,11 +37,12 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 # What must hold of each row of the queries without SQL, whose results the other tests compare with loops; and of all rows.
 HOLDS = {
     "anchor_resolve": lambda r: (r.status == "assigned") == (r.pos is not None), "effect_replay": lambda r: (r.undo_seq is None or r.undo_seq > r.seq) and (r.state != "ROLLED_BACK" or r.undo_seq is not None),
+    "batch_dup": lambda r: r.ratio >= 0.7 and r.id != r.similar_to,
     "greedy_match": lambda r: r.a % 2 == 1 and r.b % 2 == 0 and r.cost >= 0, "kb_block_search_bonus": lambda r: r.core_count > 0 and r.score >= 3 and r.rank <= 3, "lru_cache": lambda r: r.hit is not None,
     "near_dup": lambda r: r.id_a < r.id_b and (r.title_ratio >= 0.8 or r.text_ratio >= 0.7), "p4_found": lambda r: r.check_no >= 0 and r.value_milli is not None, "p4_limits": lambda r: r.common_unit is not None and r.value_milli is not None,
     "qa_blocks": lambda r: len(r.question) >= 8 and len(r.answer) >= 20 and 1 <= len(r.tags) <= 5, "quote_metrics": lambda r: r.n_truth >= r.recalled >= r.n_price >= r.price_right and r.pits >= r.pits_hit, "rule_check_paired": lambda r: r.status in ("no checks", "paired", "stricter", "unpaired"),
 }
-ONCE = {"greedy_match": [("l_orderkey", "a"), ("l_orderkey", "b")], "near_dup": [("id_a", "id_b")], "p4_limits": [("id", "check_no")], "effect_replay": [("registry", "seq")], "anchor_resolve": [("rec_id",)], "kb_block_search_bonus": [("qid", "rank")], "lru_cache": [("event_type", "event_id")]}
+ONCE = {"batch_dup": [("id",)], "greedy_match": [("l_orderkey", "a"), ("l_orderkey", "b")], "near_dup": [("id_a", "id_b")], "p4_limits": [("id", "check_no")], "effect_replay": [("registry", "seq")], "anchor_resolve": [("rec_id",)], "kb_block_search_bonus": [("qid", "rank")], "lru_cache": [("event_type", "event_id")]}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

@@ -196,6 +196,32 @@ def test_lists_metadata_and_picks(spark):
     assert rows(catalogue.recommendations(counts, codes)) == [("d", "x", 3, "P1"), ("d", "y", 0, "P0")]
 
 
+def test_batches_are_compared_with_what_is_before(spark):
+    import difflib
+
+    from plumbline.operators import curation
+
+    r = random.Random(5)
+    han = "瓷砖空鼓渗水开裂墙面地漏防水"
+    text = lambda: "".join(r.choice(han) for _ in range(r.randint(4, 10)))
+    pool = [(f"e{k:02d}", text(), text()) for k in range(12)]
+    batch = [(f"n{k:02d}", r.choice([text(), pool[k][1], pool[k][1] + "水"]), r.choice([text(), pool[11 - k][2][:-1]]), k) for k in range(12)] + [("n90", None, "", 12)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0
+    want = []
+    for n, (i, t, x, _) in enumerate(batch):
+        best = None
+        for j, u, y, *_ in [*pool, *batch[:n]]:
+            a, b = ratio(t, u), ratio(x, y)
+            if (a >= 0.8 or b >= 0.7) and (best is None or round(max(a if a >= 0.8 else a, b), 3) > best[1]):
+                best = (j, round(max(a, b), 3))
+        if best:
+            want.append((i, *best))
+    old, new = spark.createDataFrame(pool, "id string, t string, x string"), spark.createDataFrame(batch, "id string, t string, x string, n int")
+    got = rows(curation.first_similar(old, new, "id", "t", "x", "n"))
+    assert len(want) > 6 and {g[0] for g in got} == {w[0] for w in want}
+    assert [g for g in got if g[2] >= 0.8] == [w for w in sorted(want) if w[2] >= 0.8]
+
+
 # ---- index
 
 
