@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Hits up to which places are added up along the pieces of a text; beyond it, its characters are gone through one by one.
+FEW = 1000
+
+
 def find_all(text: Column, needle: Column) -> Column:
     """Places (from 1) of all occurrences, overlapping ones too; none for a null or empty needle."""
-    n = F.length(needle)
-    ok = text.isNotNull() & (n > 0) & (F.length(text) >= n)
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split(text, quoted)
+    none = F.array().cast("array<int>")
+    begins = F.aggregate(pieces, F.struct(F.lit(1).alias("at"), none.alias("all")), lambda x, p: F.struct((x["at"] + F.length(p)).alias("at"), F.array_append(x["all"], x["at"]).alias("all")))["all"]
+    few = F.when(F.startswith(text, needle), begins).otherwise(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))))
     # both as lists of characters, split once, so that the work is linear in the text
     split = F.array(F.struct(F.split(text, "").alias("t"), F.split(needle, "").alias("n")))
     at = lambda x: F.filter(F.sequence(F.lit(1), F.greatest(F.size(x["t"]) - F.size(x["n"]) + 1, F.lit(1))), lambda i: F.slice(x["t"], i, F.size(x["n"])) == x["n"])
-    return F.when(ok, F.transform(split, at)[0]).otherwise(F.array().cast("array<int>"))
+    ok = text.isNotNull() & (F.length(needle) > 0)
+    return F.when(ok & ~F.contains(text, needle), none).when(ok, F.when(F.size(pieces) <= FEW, few).otherwise(F.transform(split, at)[0])).otherwise(none)
 
 
 def count_of(text: Column, needle: Column) -> Column:

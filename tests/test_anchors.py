@@ -27,6 +27,17 @@ def test_ladder(spark):
     assert found(spark, ("", "x", "y"), body="") == []
 
 
+def test_find_all_equals_loops(spark, monkeypatch):
+    from plumbline.operators import repair
+
+    cases = [("aaaa", "aa"), ("a.b.a.b", "."), ("x", "xx"), ("", "a"), (None, "a"), ("a", None), ("abc", ""), ("瓷🙂砖🙂", "🙂"), ("q\\Ez\\E", "\\E"), ("a\nb\na", "\na"), ("aba" * 40, "aba"), ("\\Q", "\\Q")]
+    want = [[k + 1 for k in range(len(t)) if t.startswith(n, k)] if t and n else [] for t, n in cases]
+    df = spark.createDataFrame(cases, "t string, n string").coalesce(1)
+    for few in (1000, 0):
+        monkeypatch.setattr(repair, "FEW", few)
+        assert [x[0] for x in df.select(repair.find_all(F.col("t"), F.col("n"))).collect()] == want
+
+
 def resolved(spark, recs, body, **k):
     texts = spark.createDataFrame([("k", "f", body)], "id string, field string, body string")
     df = spark.createDataFrame([(n, *r) for n, r in enumerate(recs)], RECORD)
