@@ -26,6 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +176,19 @@ def key128(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def cuts(columns: list[pa.Array], rows: int, size: int = 6_000_000) -> Iterator[tuple[int, int]]:
+    """``start, number`` of runs of at most ``rows`` rows and about ``size`` bytes of text, so that a batch of long texts needs no more memory."""
+    n = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(int) for c in columns)
+    start = held = 0
+    for k, x in enumerate(n.tolist()):
+        if k > start and (k - start >= rows or held + x > size):
+            yield start, k - start
+            start, held = k, 0
+        held += x
+    if start < len(n):
+        yield start, len(n) - start
+
+
 def canonical_column(c: Column) -> Column:
     """The canonical form of a string column, by Arrow batches; null stays null."""
 

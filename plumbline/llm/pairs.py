@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.language import LanguageModel, codes
-from plumbline.llm.normalise import canonical, letters_and_digits
+from plumbline.llm.normalise import canonical, cuts, letters_and_digits
 from plumbline.session import materialise
 
 # What stands for no answer, as letters and digits in lower case.
@@ -132,7 +132,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [None] * len(held[0][0])
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, none, *held.pop()), kinds, strict=True)], names=names)
 
-    for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
+    for b in (whole.slice(at, n) for whole in batches for at, n in cuts(whole.columns[1:3], AT_ONCE)):
         ids = b.column(0).to_pylist()
         qs = [canonical(x or "") for x in b.column(1).to_pylist()]
         ans = [canonical(x or "") for x in b.column(2).to_pylist()]

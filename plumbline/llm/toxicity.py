@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.normalise import canonical
+from plumbline.llm.normalise import canonical, cuts
 from plumbline.session import drop, materialise
 
 DIM = 1 << 18
@@ -332,8 +332,8 @@ def score(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at, n in cuts([b.column(2)], 2000):
+                part = b.slice(at, n)
                 s = model.scores(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array(s >= model.threshold)], names=["doc_id", "source", "score", "flagged"])
 
