@@ -33,8 +33,10 @@ from plumbline.session import drop, materialise
 
 #: Texts that a task remembers to pass each on but once.
 SEEN = 1 << 20
-#: Texts whose signatures are made, or pairs that are compared, at once.
+#: Texts whose signatures are made at once.
 AT_ONCE = 1000
+#: Characters of the texts whose pieces a task keeps for the pairs that follow; a piece takes a hundred bytes.
+KEPT = 400_000
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,39 +150,25 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x or y else 0.0
 
 
-def jaccards(a: list[str], b: list[str]) -> np.ndarray:
-    """``jaccard`` of each pair of texts, none of them empty."""
-    index = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
-    tri, doc = _trigrams(list(index))
-    order = np.lexsort((tri, doc))
-    tri, doc = tri[order], doc[order]
-    first = np.r_[True, (tri[1:] != tri[:-1]) | (doc[1:] != doc[:-1])]
-    tri, doc = tri[first], doc[first]
-    piece = np.unique(tri, return_inverse=True)[1]
-    n = np.bincount(doc, minlength=len(index))
-    begin = np.cumsum(n) - n
-    of = piece.max() + 1
-
-    def keys(side: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = np.array([index[t] for t in side])
-        pair = np.repeat(np.arange(len(k)), n[k])
-        at = np.arange(len(pair)) + np.repeat(begin[k] - (np.cumsum(n[k]) - n[k]), n[k])
-        return n[k], pair, pair * of + piece[at]  # ascending
-
-    na, pair, x = keys(a)
-    nb, _, y = keys(b)
-    same = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-    both = np.bincount(pair[same], minlength=len(a))
-    return both / (na + nb - both)
-
-
 def _exact(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at, size in cuts([whole.column("ta"), whole.column("tb")], AT_ONCE):
-                b = whole.slice(at, size)
-                s = jaccards(b.column("ta").to_pylist(), b.column("tb").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s)], names=["a", "b", "similarity"]).filter(pa.array(s >= threshold))
+        sets: dict[str, set[str]] = {}
+        held = 0
+        for b in batches:
+            s = []
+            for ta, tb in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
+                if held > KEPT:
+                    sets.clear()
+                    held = 0
+                for t in (ta, tb):
+                    if t not in sets:
+                        sets[t] = {t[i : i + 3] for i in range(len(t) - 2)} or {t}
+                        held += len(t)
+                x, y = sets[ta], sets[tb]
+                both = len(x & y)
+                s.append(both / (len(x) + len(y) - both))
+            keep = pa.array([v >= threshold for v in s], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
     return run
 

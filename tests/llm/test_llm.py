@@ -123,13 +123,6 @@ def test_texts_repeated_in_every_partition_are_signed_once(spark):
     assert got == {f"{k:03d}": ("000", 1) for k in range(160)} | {"e1": ("e1", 0), "e2": ("e2", 0)}
 
 
-def test_jaccards_in_batches():
-    r = random.Random(11)
-    texts = ["".join(r.choice("abc瓷砖") for _ in range(r.choice([1, 2, 3, 9, 60]))) for _ in range(120)]
-    a, b = r.choices(texts, k=400), r.choices(texts, k=400)
-    assert np.allclose(neardup.jaccards(a, b), [neardup.jaccard(x, y) for x, y in zip(a, b, strict=True)])
-
-
 def test_batches_of_long_texts_are_cut():
     import pyarrow as pa
 
