@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +301,23 @@ def test_state_and_marked_files(spark, tmp_path):
     files.write_csv(spark.createDataFrame([(["x", "y"], 'say "a"')], "tags array<string>, t string").coalesce(1), f"file://{tmp_path}/csv", mark=True)
     (part,) = (tmp_path / "csv").glob("part-*.csv")
     assert part.read_bytes() == b'\xef\xbb\xbftags,t\n"x,y","say ""a"""\n' and rows(files.read_csv(spark, f"file://{tmp_path}/csv", ["tags", "t"])) == [("x,y", 'say "a"')]
+
+
+def test_blocks_find_what_joins_find(spark, monkeypatch):
+    """Many blocks and groups; equal documents, whose ties go to the least ids; rows that leave the tasks are few."""
+    from plumbline.operators import blocks
+
+    r = random.Random(8)
+    word = lambda: r.choice("abcdefghij")
+    texts = [[word() for _ in range(r.randint(0, 9))] for _ in range(40)]
+    docs = spark.createDataFrame([(f"d{k:03d}", texts[k % 40]) for k in range(200)], "id string, t array<string>")
+    q = retrieval.query_terms(spark.createDataFrame([(f"q{k}", [word() for _ in range(k % 6)] + ["none"]) for k in range(30)], "qid string, t array<string>"), F.col("t"))
+    monkeypatch.setattr(blocks, "BLOCK", 100)
+    monkeypatch.setattr(blocks, "ASKED", 20)
+    index = retrieval.build_index(docs, F.col("t"))
+    for allowed in (None, docs.where("id like 'd0%'"), docs.where("false")):
+        found = blocks.search(docs, F.col("t"), q, 4, ("bm25", "tfidf"), retrieval.K1, retrieval.B, allowed=allowed)
+        for arm, got in zip((retrieval.bm25, retrieval.tfidf), found, strict=True):
+            want = rows(retrieval.top_k(arm(index, q, allowed), 4), "qid", "id", "rank", "score")
+            assert rows(got, "qid", "id", "rank", "score") == want
+    assert set(blocks.best_of(np.full(5000, 0.5), 4, np.arange(5000)[::-1])) == {4996, 4997, 4998, 4999}
