@@ -321,3 +321,38 @@ def test_blocks_find_what_joins_find(spark, monkeypatch):
             want = rows(retrieval.top_k(arm(index, q, allowed), 4), "qid", "id", "rank", "score")
             assert rows(got, "qid", "id", "rank", "score") == want
     assert set(blocks.best_of(np.full(5000, 0.5), 4, np.arange(5000)[::-1])) == {4996, 4997, 4998, 4999}
+
+
+def test_weighted_words_in_blocks(spark, monkeypatch):
+    """Against loops: equal sets of words, ties by id, entries and searches without any word, nulls, words within words."""
+    from plumbline.operators import blocks
+
+    r = random.Random(9)
+    words = ["瓷砖", "瓷砖胶", "砖", "胶水"]
+    text = lambda: None if r.random() < 0.1 else "".join(r.choice(["瓷砖", "胶", "水", "墙"]) for _ in range(r.randint(0, 4)))
+    entries, searches = [(f"e{k:02d}", text(), text()) for k in range(90)], [(f"q{k}", text()) for k in range(30)]
+    want = []
+    for qid, q in searches:
+        held = [w for w in words if w in (q or "")]
+        found = sorted((-sum(3 * (w in (a or "")) + (w in (b or "")) for w in held), i) for i, a, b in entries)
+        want += [(qid, i, -s, n + 1) for n, (s, i) in enumerate(found[:3]) if s]
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    df = spark.createDataFrame(entries, "id string, a string, b string")
+    got = blocks.weighted(df, spark.createDataFrame(searches, "qid string, question string"), "question", words, {"a": 3, "b": 1}, 3)
+    assert rows(got, "qid", "id", "score", "rank") == sorted(want, key=str) and len(want) > 20
+    assert max(blocks._best_small(np.ones(9000, np.int16), 3)) == 2
+
+
+def test_windows_are_numbered_exactly():
+    from plumbline.operators.blocks import Windows
+
+    r = random.Random(3)
+    text = lambda: "".join(r.choice("一丁鿿，a😀") for _ in range(r.randint(0, 9)))
+    cut = lambda t: {t[i:j] for i in range(len(t)) for j in range(i + 2, min(i + 6, len(t)) + 1) if set(t[i:j]) <= set("一丁鿿")}
+    texts, others = [text() for _ in range(40)], [text() for _ in range(40)]
+    known = Windows(texts)
+    words = sorted(set().union(*map(cut, texts)))
+    number = dict(zip(words, known.number(words).tolist(), strict=True))
+    assert sorted(number.values()) == list(range(known.n)) and known.number(["鿿" * 7, "丁a"]).tolist() == [-1, -1]
+    got = {(t, n) for t, n in zip(*map(list, map(np.ndarray.tolist, known.found(others))), strict=True)}
+    assert got == {(k, number[w]) for k, t in enumerate(others) for w in cut(t) if w in number}
