@@ -221,42 +221,55 @@ def numbers(df: DataFrame, id_col: str, text: str, units: dict[str, list[str]])
     return df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.explode(found).alias("x")).select("id", "x.*")
 
 
-def checked_rules(df: DataFrame, id_col: str, text: str, rules: DataFrame, units: dict[str, list[str]], near: float = 0.005) -> DataFrame:
+def checked_rules(df: DataFrame, id_col: str, text: str, rules: DataFrame, units: dict[str, list[str]], near: float = 0.005, salts: int = 8) -> DataFrame:
     """``id, rule_id, check_no, status, unit_name, number``: the rules that a text's numbers meet, and numbers that contradict them.
 
     ``rules``: ``id, keywords, checks`` (``value``, ``unit``, ``operator``). A rule is looked at if the text holds one of its
     keywords; one without checks passes. Numbers before a conditional hint don't count. A check passes (``paired``) if a number
     in its unit is within ``near`` of its value, else (``stricter``) if all numbers in its unit are strictly on the safe side.
     A rule with a paired check and without a stricter one warns (``unpaired``) of each number in a unit of its checks that
-    is near no value of its own checks and, in its unit, of no check of any rule.
+    is near no value of its own checks and, in its unit, of no check of any rule. ``salts``: parts that the texts of a keyword are put in.
     """
     spelled = F.create_map(*(F.lit(x) for u, ss in units.items() for s in dict.fromkeys([u, *ss]) for x in (s, u)))
     r = rules.select(F.col("id").alias("rule_id"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "checks").distinct()
     checks = r.select("rule_id", F.posexplode("checks").alias("check_no", "c")).select("rule_id", "check_no", F.element_at(spelled, F.coalesce("c.unit", F.lit(""))).alias("unit_name"), F.col("c.value").alias("target"), F.col("c.operator").alias("op"))
     checks = checks.where("unit_name is not null and target is not null").distinct()
-    told = numbers(df, id_col, text, units).where(~F.col("followed").rlike("|".join(map(re.escape, CONDITIONAL)))).select("id", "unit_name", "number").distinct()
+    told = materialise(numbers(df, id_col, text, units).where(~F.col("followed").rlike("|".join(map(re.escape, CONDITIONAL)))).select("id", "unit_name", "number").distinct(), "told")
 
     # a text's substrings are equi-joined with the keywords, so no nested loop is needed
     words = r.select("rule_id", F.explode("keywords").alias("word")).where("word <> ''").distinct()
     lengths = words.select(F.length("word").alias("n")).distinct()  # as many rows as there are lengths
     t = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(lengths)).where(F.length("text") >= F.col("n"))
     parts = t.select("id", F.explode(F.array_distinct(every(F.col("text"), F.col("n")))).alias("word"))
-    named = parts.join(words.select("word").distinct(), "word", "left_semi")
-    of = lambda some: named.join(words.join(some, "rule_id", "left_semi"), "word").select("id", "rule_id").distinct()
-
-    bare = of(r.where(F.coalesce(F.size("checks"), F.lit(0)) <= 0))
+    named = materialise(parts.join(words.select("word").distinct(), "word", "left_semi").distinct().groupBy("id").agg(F.collect_list("word").alias("words")), "named")
+    each = named.select("id", "words", F.explode("words").alias("word"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    salted = lambda some: some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    all_ = words.groupBy("rule_id").agg(F.collect_list("word").alias("keywords"))
+    # text and rule meet under each common keyword and count under the least, so that their pairs needn't be shuffled to be made distinct
+    once = F.col("word") == F.array_min(F.array_intersect("words", "keywords"))
     none = lambda kind: F.lit(None).cast(kind)
-    passed = bare.select("id", "rule_id", none("int").alias("check_no"), F.lit("no checks").alias("status"), none("string").alias("unit_name"), none("double").alias("number"))
-    same = told.groupBy("id", "unit_name").agg(F.collect_list("number").alias("numbers"))
-    paired = F.exists("numbers", lambda v: F.abs(v - F.col("target")) <= near)
-    stricter = F.col("op").isin(">=", ">") & (F.array_min("numbers") > F.col("target")) | F.col("op").isin("<=", "<") & (F.array_max("numbers") < F.col("target"))
-    met = of(checks).join(checks, "rule_id").join(same, ["id", "unit_name"]).withColumn("status", F.when(paired, "paired").when(stricter, "stricter")).where("status is not null")
-    held = met.select("id", "rule_id", "check_no", "status", "unit_name", F.col("target").alias("number"))
-
-    active = met.groupBy("id", "rule_id").agg(F.max(F.when(F.col("status") == "stricter", 1).otherwise(0)).alias("s")).where("s = 0").select("id", "rule_id")
-    scope = checks.groupBy("rule_id").agg(F.collect_set("target").alias("targets"), F.collect_set("unit_name").alias("names"))
+
+    bare = words.join(r.where(F.coalesce(F.size("checks"), F.lit(0)) <= 0).select("rule_id").distinct(), "rule_id", "left_semi").join(all_, "rule_id")
+    passed = each.join(salted(bare), ["word", "salt"]).where(once).select("id", "rule_id", none("int").alias("check_no"), F.lit("no checks").alias("status"), none("string").alias("unit_name"), none("double").alias("number"))
+    same = materialise(told.groupBy("id", "unit_name").agg(F.collect_list("number").alias("numbers"), F.min("number").alias("lo"), F.max("number").alias("hi")), "same")
+    # of the numbers on the safe side, the nearest to the value is the least or the greatest
+    stricter = F.col("op").isin(">=", ">") & (F.col("lo") > F.col("target")) & (F.col("lo") - F.col("target") > near) | F.col("op").isin("<=", "<") & (F.col("hi") < F.col("target")) & (F.col("target") - F.col("hi") > near)
+    asked = words.join(all_, "rule_id").join(checks.where("op in ('>=', '>', '<=', '<')"), "rule_id")
+    bounds = each.join(same.select("id", "unit_name", "lo", "hi"), "id")
+    strict = bounds.join(salted(asked), ["word", "salt", "unit_name"]).where(stricter).where(once).select("id", "rule_id", "check_no", F.lit("stricter").alias("status"), "unit_name", F.col("target").alias("number"))
+
+    # paired checks are few: they are found by the numbers' cells, and only their rules are looked through for stricter ones
     cell = lambda c: F.floor(F.col(c) / (2 * near)).cast("bigint")
-    stated = checks.select("unit_name", "target").distinct().withColumn("cell", F.explode(F.array(*(cell("target") + k for k in (-1, 0, 1)))))
+    near_by = F.explode(F.array(*(cell("target") + k for k in (-1, 0, 1))))
+    close = words.join(checks, "rule_id").withColumn("cell", near_by)
+    numbered = named.select("id", F.explode("words").alias("word")).join(same.select("id", "unit_name", F.explode("numbers").alias("number")), "id").withColumn("cell", cell("number"))
+    met = numbered.join(close, ["word", "unit_name", "cell"]).where(F.abs(F.col("number") - F.col("target")) <= near)
+    pairs = materialise(met.select("id", "rule_id", "check_no", "unit_name", "target", "op").distinct(), "paired")
+    held = strict.unionByName(pairs.select("id", "rule_id", "check_no", F.lit("paired").alias("status"), "unit_name", F.col("target").alias("number")))
+    has = pairs.select("id", "rule_id").distinct()
+    active = has.join(has.join(checks, "rule_id").join(same, ["id", "unit_name"]).where(stricter).select("id", "rule_id").distinct(), ["id", "rule_id"], "left_anti")
+    scope = checks.groupBy("rule_id").agg(F.collect_set("target").alias("targets"), F.collect_set("unit_name").alias("names"))
+    stated = checks.select("unit_name", "target").distinct().withColumn("cell", near_by)
     seen = told.select("unit_name", "number").distinct().withColumn("cell", cell("number"))
     globally = seen.join(stated, ["unit_name", "cell"]).where(F.abs(F.col("number") - F.col("target")) <= near).select("unit_name", "number").distinct()
     open_ = told.join(globally, ["unit_name", "number"], "left_anti")

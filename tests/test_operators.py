@@ -455,3 +455,14 @@ def test_streams(spark, sf, tmp_path):
     assert rows(spark.table("broken"), "event_id", "outcome") == rows(folds.breaker(saved, "user_id", "ts", "event_id", "failed", 2, 3 * 3600), "event_id", "outcome")
     _run_once(usage.cached(calls, 6 * 3600).writeStream.outputMode("append").format("memory").queryName("cached"))
     assert rows(spark.table("cached"), "event_id", "hit") == rows(folds.ttl_cache(saved, "user_id", "ts", "event_id", 6 * 3600), "event_id", "hit")
+
+
+def test_rule_pairs_are_not_shuffled(spark):
+    """A text and a rule with two common keywords meet once, without a step that makes pairs distinct: nothing is exchanged after the join that gives most rows."""
+    names = {"mm": ["mm"]}
+    rule = [("r", ["栏杆", "净高"], [("x", ">=", 1.0, "mm", None)]), ("s", ["净高", "栏杆"], [])]
+    df = curation.checked_rules(spark.createDataFrame([(1, "栏杆净高 5 mm")], "k int, t string"), "k", "t", spark.createDataFrame(rule, f"id string, keywords array<string>, checks {CHECK}"), names)
+    assert rows(df, "rule_id", "status") == [("r", "stricter"), ("s", "no checks")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    strict = plan[: plan.index("paired AS")]
+    assert "Aggregate [id" not in strict
