@@ -7,13 +7,14 @@ form (see normalise), in lower case, letters and digits only.
 2. A text's signature has ``coordinates`` values. Each is made of ``rows`` independent min-hashes (one-permutation
    hashing: one pass for each row gives that row's value of every coordinate; empty bins borrow from others by a fixed
    probe), so two texts of similarity s agree in a coordinate with probability s**rows.
-3. Prefix: every text is posted under each coordinate-value pair, and the posting lists are joined. With the defaults
-   (64, 5; joined in four rounds), a pair of similarity 0.6 is found with probability 0.994, one of 0.7 with 0.99999, whereas one of 0.2 is with 0.02.
-4. Skip: the 320 single min-hashes, of one bit each, aren't posted; their matches are counted only for pairs that the
-   prefix found, and pairs below the match threshold are dropped (at similarity 0.6: one in 100,000).
+3. Prefix: every text is posted under each coordinate-value pair, and the texts of a posting list meet. With the defaults
+   (64, 5; in eight rounds), a pair of similarity 0.6 is found with probability 0.994, one of 0.7 with 0.99999, whereas one of 0.2 is with 0.02.
+4. Skip: the 320 single min-hashes, of one bit each, aren't posted, but go with each posting; pairs that meet below the match
+   threshold are dropped where they meet (at similarity 0.6: one in 100,000). The pairs that meet grow with the square of the
+   texts, since a list of unlike texts grows with them; so they are neither written nor shuffled, and cost some 50 ns each.
 5. The pairs left are compared exactly.
 
-All steps are distributed joins and aggregations; nothing is capped, and no list of candidates is held in one place.
+Postings are shuffled as packed arrays, not as rows. Nothing is capped, and no list of candidates is held in one place.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ from plumbline.session import drop, materialise
 SEEN = 1 << 20
 #: Texts whose signatures are made at once.
 AT_ONCE = 1000
+#: Postings of one coordinate that meet in one task, and pairs that are compared at once.
+LIST, PAIRS = 1 << 20, 1 << 18
+#: Tasks of a coordinate at least.
+LEAST_PARTS = 2
 #: Characters of the texts whose pieces a task keeps for the pairs that follow; a piece takes a hundred bytes.
 KEPT = 400_000
 
@@ -122,22 +127,36 @@ def keyed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("questio
     return materialise(df.select(*cols).where("id is not null").mapInArrow(run, "id string, key binary, text string"), "keyed")
 
 
-def signed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), coordinates: int = 64, rows: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Membership ``id, h`` and the different texts ``h, text, posted, w0...``, once each, with their signatures.
+def _packed(x: np.ndarray) -> pa.Array:
+    """The rows of an array, each as its bytes."""
+    x = np.ascontiguousarray(x)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
+
+
+def _unpacked(c: pa.Array, kind: type) -> np.ndarray:
+    c = c.cast(pa.binary())
+    ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+    return np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(c), -1)
+
+
+def signed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question", "answer"), coordinates: int = 64, rows: int = 5, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Membership ``id, h`` and the different texts ``h, text, words, posted0...``, once each, with their signatures; ``posted0...`` have the coordinates of each round.
 
     Texts are told apart by 128 bits of their hash; ``h`` is a number given to each of them, null for an empty key text.
     """
+    if coordinates > 64 or coordinates % rounds:
+        raise ValueError("64 coordinates at most, the same number in each round")
+    names = ["key", "text", "words", *(f"posted{r}" for r in range(rounds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at, size in cuts([whole.column(1)], AT_ONCE):
                 b = whole.slice(at, size)
                 posted, words = signatures(b.column(1).to_pylist(), coordinates, rows)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(posted.ravel()), coordinates).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(rows))], names=["key", "text", "posted", *(f"w{w}" for w in range(rows))])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _packed(words), *map(_packed, np.split(posted, rounds, axis=1))], names=names)
 
     found = keyed(df, id_col, fields)
-    schema = "key binary, text string, posted array<int>, " + ", ".join(f"w{w} bigint" for w in range(rows))
+    schema = "key binary, text string, " + ", ".join(f"{n} binary" for n in names[2:])
     once = found.where("text is not null").groupBy("key").agg(F.first("text").alias("text"))
     texts = materialise(once.mapInArrow(run, schema).withColumn("h", F.monotonically_increasing_id()), "signed")
     members = materialise(found.select("id", "key").distinct().join(texts.select("key", "h"), "key", "left").select("id", "h"), "members")
@@ -173,25 +192,85 @@ def _exact(threshold: float):
     return run
 
 
-def class_links(texts: DataFrame, threshold: float = 0.6, coordinates: int = 64, rows: int = 5, matches: int = 224, rounds: int = 4) -> DataFrame:
+def _post(per: int):
+    """``part, values, h, words``: the postings of one round by coordinate and part of its values, packed. A batch: ``h, words, posted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            h, words, posted = b.column(0).to_numpy(), _unpacked(b.column(1), np.uint64), _unpacked(b.column(2), np.uint32)
+            within = (posted.astype(np.uint64) * np.uint64(per) >> np.uint64(32)).astype(np.uint16 if per <= 1 << 16 else np.uint32)
+            out: list[list] = [[], [], [], []]
+            for c, (part, values) in enumerate(zip(within.T, posted.T, strict=True)):
+                at = np.argsort(part, kind="stable")
+                ends = np.cumsum(np.bincount(part, minlength=per)).tolist()
+                cols = [x.take(at, axis=0) for x in (values, h, words)]
+                for k, (i, j) in enumerate(zip([0, *ends], ends)):
+                    if j > i:
+                        for x, y in zip(out, (c * per + k, *(x[i:j].tobytes() for x in cols)), strict=True):
+                            x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["part", "values", "h", "words"])
+
+    return run
+
+
+def _met(values: np.ndarray, h: np.ndarray, words: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts under an equal value of which ``least`` bits agree; (a, b) with a < b. ``words`` are unsigned, as NumPy counts the bits of an absolute value."""
+    order = np.sort(values.astype(np.uint64) << np.uint64(32) | np.arange(len(values), dtype=np.uint64))  # faster than argsort
+    values = order >> np.uint64(32)
+    same = values[1:] == values[:-1]
+    several = np.r_[same, False] | np.r_[False, same]
+    order = (order[several] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    values, h, bits = values[several], h[order], np.ascontiguousarray(words[order].T)
+    if not len(values):
+        return
+    ends = np.flatnonzero(np.r_[values[1:] != values[:-1], True]) + 1
+    later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(values)) - 1
+    before = np.cumsum(later) - later
+    at = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS)))
+        n = later[at:to]
+        if n.any():
+            i = np.repeat(np.arange(at, to), n)
+            j = np.arange(len(i)) - np.repeat(before[at:to] - before[at], n) + i + 1
+            differ = np.zeros(len(i), np.uint16)
+            for w in bits:
+                differ += np.bitwise_count(w[i] ^ w[j])
+            keep = np.flatnonzero(differ <= 64 * len(bits) - least)
+            x, y = h[i[keep]], h[j[keep]]
+            yield np.minimum(x, y), np.maximum(x, y)
+        at = to
+
+
+def _meet(rows: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[list[bytes]]] = {}
+        for b in batches:
+            for part, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for held, c in zip(parts.setdefault(part, [[], [], []]), x, strict=True):
+                    held.append(c)
+        while parts:
+            values, h, words = (np.frombuffer(b"".join(x), kind) for x, kind in zip(parts.popitem()[1], (np.uint32, np.int64, np.uint64), strict=True))
+            for x, y in _met(values, h, words.reshape(-1, rows), least):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return run
+
+
+def class_links(texts: DataFrame, threshold: float = 0.6, coordinates: int = 64, rows: int = 5, matches: int = 224, rounds: int = 8) -> DataFrame:
     """``a, b, similarity``: every pair of different texts (by their numbers, a < b) of ``signed`` at or above ``threshold``.
 
     ``matches`` of the 320 unposted bits (64 coordinates of 5 rows) must agree; by default 224, four and a half deviations under
-    the 256 expected at 0.6. The coordinates are joined in ``rounds``, so that the postings of one round only are on disk at a time.
+    the 256 expected at 0.6. The coordinates meet in ``rounds``, so that the postings of one round only are on disk at a time.
     """
-    if coordinates > 64 or coordinates % rounds:
-        raise ValueError("64 coordinates at most, the same number in each round")
+    per = max(LEAST_PARTS, -(-texts.count() // LIST))
+    least = matches + rows * (64 - coordinates)  # bits without a coordinate are 0 in every text
     found = []
     for r in range(rounds):
-        each = coordinates // rounds
-        own = texts.select("h", F.posexplode(F.slice("posted", r * each + 1, each)).alias("k", "v"))
-        post = own.select(F.col("h"), (F.shiftleft(F.col("k").cast("bigint"), 32) + F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
-        met = post.alias("x").join(post.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-        found.append(materialise(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions")), f"round{r}"))
-    met = functools.reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.sum("collisions").alias("collisions"))
-    sides = [texts.select(F.col("h").alias(s), *(F.col(f"w{w}").alias(f"{s}{w}") for w in range(rows))) for s in "ab"]
-    agree = functools.reduce(lambda x, y: x + y, (64 - F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(rows))) - rows * (64 - coordinates)
-    kept = materialise(met.join(sides[0], "a").join(sides[1], "b").where(agree >= matches).select("a", "b"), "candidates")
+        post = texts.select("h", "words", f"posted{r}").mapInArrow(_post(per), "part int, values binary, h binary, words binary")
+        met = post.repartitionById(coordinates // rounds * per, "part").mapInArrow(_meet(rows, least), "a bigint, b bigint")
+        found.append(materialise(met, f"round{r}"))
+    kept = materialise(functools.reduce(DataFrame.unionByName, found).distinct(), "candidates")
     for x in found:
         drop(x)
     wanted = kept.select(F.explode(F.array("a", "b")).alias("h")).distinct()

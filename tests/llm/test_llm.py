@@ -123,6 +123,23 @@ def test_texts_repeated_in_every_partition_are_signed_once(spark):
     assert got == {f"{k:03d}": ("000", 1) for k in range(160)} | {"e1": ("e1", 0), "e2": ("e2", 0)}
 
 
+def test_pairs_that_only_meet_are_not_written(spark, monkeypatch):
+    r = random.Random(5)
+    han = [chr(c) for c in range(0x4E00, 0x5600)]
+    common = "".join(r.choice(han) for _ in range(80))
+    data = [(f"{k:03d}", common + "".join(r.choice(han) for _ in range(100)), None) for k in range(200)]
+    data.append(("like", data[0][1][:-3], None))
+    written = []
+    kept = neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, label: (x := kept(df, label), label.startswith("round") and written.append(x.count()))[0])
+    monkeypatch.setattr(neardup, "LIST", 50)
+    monkeypatch.setattr(neardup, "PAIRS", 100)
+    assert rows(neardup.pairs(entries(spark, data))) == [("000", "like")]
+    posted, _ = neardup.signatures([t for _, t, _ in data])
+    met = sum(int((n * (n - 1) // 2).sum()) for c in posted.T for n in [np.unique(c, return_counts=True)[1]])
+    assert met > 1000 and sum(written) < met / 5
+
+
 def test_batches_of_long_texts_are_cut():
     import pyarrow as pa
 
