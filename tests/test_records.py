@@ -323,6 +323,30 @@ def test_blocks_find_what_joins_find(spark, monkeypatch):
     assert set(blocks.best_of(np.full(5000, 0.5), 4, np.arange(5000)[::-1])) == {4996, 4997, 4998, 4999}
 
 
+def test_best_scores_by_columns_are_those_of_all(monkeypatch):
+    from plumbline.operators import blocks
+
+    rng = np.random.default_rng(4)
+    cases = [np.round(rng.random(n) * (rng.random(n) < share), digits) for n in (1, 3, 255, 256, 700, 4096, 5001, 5063) for share in (0.002, 0.1, 1) for digits in (1, 6, 9)]
+    for score in cases:
+        found = set(blocks._at_least_kth(score, 4, 1e-6).tolist())
+        v = np.sort(score)[::-1][min(4, len(score)) - 1]
+        assert found == set(np.flatnonzero((score >= v - 1e-6) & (score > 0) if v > 1e-6 else score > 0).tolist())
+
+
+def test_hybrid_search_reads_each_table_once(spark, sf, monkeypatch):
+    """The result hangs on tables already written; vocabulary rows have empty lists, not null ones."""
+    from plumbline.operators import blocks
+    from plumbline.plans import q_retrieval
+
+    own = []
+    meet = blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda *args: (own.append(args[-1]), own.append(args[-1].where("terms is null or times is null").count()), meet(*args))[-1])
+    found = q_retrieval.hybrid_search_expanded(spark, sf)
+    assert found.count() and own[1:] == [0]
+    assert found.inputFiles() and not any("/knowledge_" in f for f in found.inputFiles())
+
+
 def test_weighted_words_in_blocks(spark, monkeypatch):
     """Against loops: equal sets of words, ties by id, entries and searches without any word, nulls, words within words."""
     from plumbline.operators import blocks
